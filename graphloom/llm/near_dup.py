@@ -126,10 +126,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signed(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("cls"))
+    # checkpointed, so that the joins read it by an exchange of their own and a hot key's rows can be split
+    classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("cls")))
     heads = full.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"])
     banded = heads.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    stars = cut(stars)
     shared = cut(banded.join(stars, "bucket").select("bucket", "cls", "n", "m", F.col("star.cls").alias("c"), F.col("star.n").alias("cn")))
 
     def fits(x: str, y: str):
