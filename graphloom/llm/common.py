@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 #: Rows (not bytes) under which a set of bare ids may be broadcast; 16 bytes a row, so 16 MB at most.
 BROADCAST_IDS = 1_000_000

@@ -18,7 +18,7 @@ from graphloom.llm.textops import CHUNK_BYTES
 SPACE = "▁"
 _NO_RANK = np.iinfo(np.int32).max
 #: Words and ids that a worker remembers between batches before it starts anew.
-KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
+KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _U = np.uint64
 
 #: Bytes that one pass of the vectorised code covers; a longer single text is a pass of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def byte_mask(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -49,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES // 4), base, _U)
+            steps = np.full(n + n // 4, base, _U)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers
