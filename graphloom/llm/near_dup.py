@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # buckets that still join several components
     seen = shared.join(groups, shared["cls"] == groups["node"], "left").select("bucket", "cls", "n", "m", F.coalesce("component", "cls").alias("label"))
     open_buckets = seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    open_buckets = cut(open_buckets)
     seen = cut(seen.join(open_buckets, "bucket"))
     small = seen.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
