@@ -15,13 +15,15 @@ from graphloom.llm.queries import tokenizer_model, words_of
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Bradley-Terry ranker accepts; it learns from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold("doc_id", 4) != 2)
-    return quality.score(docs, quality.fit(docs, labels)).where("accepted").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return quality.score(rows, quality.fit(docs, labels)).where("accepted").select("row.*")
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near a language's centroid; a missing language is filled in."""
-    found = language.identify(docs, language.fit(docs.where(fold("doc_id", 5) != 0))).where(~F.col("rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    found = language.identify(rows, language.fit(docs.where(fold("doc_id", 5) != 0))).where(~F.col("rejected"))
+    return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

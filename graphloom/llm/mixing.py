@@ -88,11 +88,11 @@ def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
     of documents, says how often each row is repeated. Documents of size 0 are not drawn, only copied.
     """
     mix = cut(pareto_mix(docs, size, whole=True, **options))
-    last = F.max(F.when(F.col("copies") > F.col("certain"), F.col("drawn"))).alias("_last")
-    table = mix.groupBy(F.col("source").alias("_source")).agg(F.max("certain").cast("int").alias("_certain"), last)
+    last = F.max(F.when(F.col("copies") > F.col("certain"), F.col("drawn"))).alias("@last")
+    table = mix.groupBy(F.col("source").alias("@source")).agg(F.max("certain").cast("int").alias("@certain"), last)
     if table.count() <= 100_000:
         table = F.broadcast(table)
-    rows = docs.withColumns({"_drawn": random_number(docs, options.get("seed", "mix")), "_size": size})
-    rows = rows.join(table, rows["source"].cast("string").eqNullSafe(table["_source"]), "left")
-    drawn = F.coalesce((F.col("_drawn") <= F.col("_last")) & (F.col("_size") > 0), F.lit(False)).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_certain", F.lit(0)) + drawn))).select(*docs.columns)
+    rows = docs.withColumns({"@drawn": random_number(docs, options.get("seed", "mix")), "@size": size})
+    rows = rows.join(table, rows["source"].cast("string").eqNullSafe(table["`@source`"]), "left")
+    drawn = F.coalesce((F.col("`@drawn`") <= F.col("`@last`")) & (F.col("`@size`") > 0), F.lit(False)).cast("int")
+    return rows.withColumn("@copy", F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col("`@certain`"), F.lit(0)) + drawn))).select(*docs.columns)
