@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds at a time.
-BATCH_ROWS = 500
+BATCH_ROWS = 256
 
 #: Rows (not bytes) under which a set of bare ids may be broadcast; 16 bytes a row, so 16 MB at most.
 BROADCAST_IDS = 1_000_000
@@ -37,6 +41,38 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+class Tidy:
+    """A function of an iterator that, when it ends, gives the worker's free memory back to the system; workers live on between tasks."""
+
+    def __init__(self, inner):
+        self.inner = inner
+
+    def __call__(self, batches: Iterator) -> Iterator:
+        try:
+            yield from self.inner(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with a tidy function."""
+    return df.mapInArrow(Tidy(run), schema)
+
+
+def column_of(run, kind: str):
+    """A column function of one text column from ``run``, which takes and gives an iterator of Arrow arrays."""
+
+    def tidy(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from Tidy(run)(texts)
+
+    return F.arrow_udf(tidy, kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

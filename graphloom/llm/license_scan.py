@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import map_arrow, small_batches
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -113,7 +113,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    base = texts.mapInArrow(_base(phrases), "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
+    base = map_arrow(texts, _base(phrases), "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
     rows = []
     for number, (_, text) in enumerate(templates):
         data = np.frombuffer(text.encode(), np.uint8)
@@ -121,7 +121,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
         rows += [(int(h), number, place) for place, h in enumerate(hashes.view(np.int64))]
     wanted = F.broadcast(spark.createDataFrame(rows, "gram long, template int, place int"))  # as many rows as the templates have words
     about = F.broadcast(spark.createDataFrame([(n, label, len(text.split()), len({r[0] for r in rows if r[1] == n})) for n, (label, text) in enumerate(templates)], "template int, label string, words int, grams int"))
-    each = texts.mapInArrow(_grams(GRAM), "doc_id long, text_key long, grams array<long>").select("doc_id", "text_key", F.posexplode("grams").alias("pos", "gram"))
+    each = map_arrow(texts, _grams(GRAM), "doc_id long, text_key long, grams array<long>").select("doc_id", "text_key", F.posexplode("grams").alias("pos", "gram"))
     key = ["doc_id", "text_key", "template"]
     votes = each.join(wanted, "gram").select(*key, "pos", "place", "gram").distinct()
     diagonals = votes.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("gram").alias("found"))

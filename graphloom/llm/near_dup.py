@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
-from graphloom.llm.common import BROADCAST_IDS, cut, small_batches
+from graphloom.llm.common import BROADCAST_IDS, cut, map_arrow, small_batches
 from graphloom.llm.components import connected_components
 
 _U = np.uint64
@@ -103,7 +103,7 @@ def _linked(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     if 2 * pairs.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, shingles array<long>")
+    sets = map_arrow(texts.join(ids, "doc_id", "left_semi"), _full_sets(k), "doc_id long, shingles array<long>")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signed(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    signed = cut(map_arrow(texts, _signed(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # checkpointed, so that the joins read it by an exchange of their own and a hot key's rows can be split
     classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("cls")))

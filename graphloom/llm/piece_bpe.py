@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import map_arrow, small_batches
 from graphloom.llm.textops import CHUNK_BYTES
 
 SPACE = "▁"
@@ -320,4 +320,4 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
                 at = end
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_arrow(picked, run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import labelled_sample, small_batches
+from graphloom.llm.common import column_of, labelled_sample, map_arrow, small_batches
 
 #: Labelled documents that a fit uses at most, pairs for each rejected document, pairs at most, ridge penalty, score at the threshold.
 SAMPLE, PAIRS_EACH, PAIRS, RIDGE, CUT = 8000, 20, 100_000, 1e-3, 0.7
@@ -96,7 +96,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """A ranker from (doc_id, text) and (doc_id, label); it uses at most ``sample`` labelled documents, those of least hash."""
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, sample, "quality").mapInArrow(_featured, "doc_id long, label int, x array<double>")
+    rows = map_arrow(labelled_sample(docs, labels, sample, "quality"), _featured, "doc_id long, label int, x array<double>")
     found = rows.orderBy("doc_id").limit(2 * sample).collect()
     x = np.array([r.x for r in found]).reshape(len(found), len(features("")))
     return fit_pairs(x, np.array([r.label for r in found], int))
@@ -106,12 +106,10 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """The rows of ``docs`` with columns score and accepted (score >= CUT) in place of ``text``; a null text counts as empty."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in texts:
+            x = np.array([features(t or "") for t in own.to_pylist()])
+            yield pa.array(ranker.score(x) if len(x) else [], pa.float64())
 
-        x = np.array([features(t or "") for t in texts]).reshape(len(texts), -1)
-        return pd.Series(ranker.score(x) if len(x) else [])
-
-    out = docs.withColumn("score", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = docs.withColumn("score", column_of(scored, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out.withColumn("accepted", F.col("score") >= CUT)

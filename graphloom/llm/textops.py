@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _U = np.uint64
 
 #: Bytes that one pass of the vectorised code covers; a longer single text is a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def byte_mask(ranges: list[tuple[int, int]]) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, labelled_sample, small_batches
+from graphloom.llm.common import column_of, labelled_sample, map_arrow, small_batches
 
 #: Labelled documents that a fit uses at most, entries of the learned lexicon, folds of the cross-fit, words around a hit that are near it.
 SAMPLE, LEXICON, FOLDS, NEAR = 10_000, 3000, 4, 4
@@ -36,7 +36,7 @@ class Lexicon(dict):
     def __missing__(self, word: str) -> float:
         get = self.entries.get
         out = max(get("=" + word, 0.0), *(get(word[:n], 0.0) if len(word) >= n else 0.0 for n in STEMS))
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out
         return out
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     fold = np.array([r.doc_id % FOLDS for r in known], int)
     label = np.array([r.label for r in known], int)
     per = [F.sum(((F.col("fold") == f) & (F.col("label") == v)).cast("int")).alias(f"n{v}{f}") for v in (0, 1) for f in range(FOLDS)]
-    counted = rows.mapInArrow(_counts, "stem string, fold int, label int").groupBy("stem").agg(*per)
+    counted = map_arrow(rows, _counts, "stem string, fold int, label int").groupBy("stem").agg(*per)
     toxic, clean = sum(F.col(f"n1{f}") for f in range(FOLDS)), sum(F.col(f"n0{f}") for f in range(FOLDS))
     toxics, cleans = int((label == 1).sum()), int((label == 0).sum())
     odds = F.log((toxic + 0.2) / F.lit(toxics + 1.0)) - F.log((clean + 0.2) / F.lit(cleans + 1.0))
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t, own[d % FOLDS]) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(featured, "doc_id long, label int, x array<double>").orderBy("doc_id").limit(2 * sample).collect()
+    got = map_arrow(rows, featured, "doc_id long, label int, x array<double>").orderBy("doc_id").limit(2 * sample).collect()
     x, y, f = np.array([r.x for r in got]).reshape(len(got), WIDTH), np.array([r.label for r in got], int), np.array([r.doc_id % FOLDS for r in got], int)
     margin = np.zeros(len(x))
     for k in range(FOLDS):
@@ -229,15 +229,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a column score (0 to 1) added; a null text counts as empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: list[Lexicon] = []
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        learned = Lexicon(shared.value.entries)
+        for own in texts:
+            x = np.array([features(t or "", learned) for t in own.to_pylist()]).reshape(len(own), WIDTH)
+            yield pa.array(shared.value.score(x) if len(x) else [], pa.float64())
 
-        if not held:
-            held.append(Lexicon(shared.value.entries))
-        x = np.array([features(t or "", held[0]) for t in texts]).reshape(len(texts), WIDTH)
-        return pd.Series(shared.value.score(x) if len(x) else [])
-
-    return docs.withColumn("score", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn("score", column_of(scored, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, shared_dir, small_batches
+from graphloom.llm.common import cut, map_arrow, shared_dir, small_batches
 
 # Fixed values of the WARC and Zstandard formats.
 SKIPPABLE = 0x184D2A5D
@@ -137,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date:
             done.append(now.close())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), schema.types, strict=True)] if done else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return cut(placed.mapInArrow(run, "path string, records long, raw_bytes long, stored_bytes long"))
+    return cut(map_arrow(placed, run, "path string, records long, raw_bytes long, stored_bytes long"))
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -169,7 +169,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     tasks = max(1, min(manifest.count(), 10_000))
-    return manifest.select("path").repartition(tasks).mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return map_arrow(manifest.select("path").repartition(tasks), run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def archive_folder(spark: SparkSession) -> str:
