@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,19 @@ from graphloom.sources.catalog import GraphCatalog
 def tpch_catalog(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """Customers, orders, parts and so on as a graph, events and labels as other sources."""
 
-    def read(name: str) -> DataFrame:
+    @cache
+    def loaded(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    def read(name: str) -> Callable[[], DataFrame]:
+        """A reader of a table that a query may or may not use."""
+        return lambda: loaded(name)
+
     out = GraphCatalog()
     for label, table, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Document", "documents", "doc_id")):
         out.node(label, read(table), key)
-    out.register_source("event-service", lambda: read("events"))
-    out.register_source("label-service", lambda: read("labels"))
+    out.register_source("event-service", read("events"))
+    out.register_source("label-service", read("labels"))
     out.node("Event", "Event-Service", "event_id", source="event-service", time_column="ts")
     out.node("LastEvent", "event-service", "event_id", source="event-service", time_column="ts", entity_key="user_id")
     out.node("DocLabel", "label-service", "doc_id", source="label-service")
