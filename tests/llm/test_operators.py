@@ -121,6 +121,19 @@ def test_hot_groups_stay_whole(spark):
     assert {got[d] for d, _, _ in rows if d < 5000} == {0} and all(got[d] == d for d in got if d >= 5000)
 
 
+def test_copies_that_only_their_original_links_stay_whole(spark):
+    rng = random.Random(6)
+    base = [f"{rng.choice(WORDS)}{i}" for i in range(200)]
+    rows = [(9000, " ".join(base), "s")]
+    for i in range(400):
+        own = list(base)
+        for j in rng.sample(range(1, 40), 4):
+            own[5 * j] = f"x{i}"
+        rows.append((i, " ".join(own), "s"))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), 4).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
