@@ -19,8 +19,6 @@ _U = np.uint64
 BINS, BAND = 256, 6
 #: In the second round, buckets of up to this many classes are compared completely; larger ones with so many random centres.
 SMALL_BUCKET, CENTRES = 32, 8
-#: In the third round, classes of a tile (nearly), and how far the share of equal bins may lie under the similarity asked for: seven standard deviations.
-TILE, MARGIN = 256, 0.18
 
 
 def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -100,62 +98,6 @@ def _full_sets(k: int):
     return run
 
 
-def _short_signatures(k: int):
-    """Two bytes of each bin of the signature of each text with words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, sets in _sets(batch, k):
-                rows = [i for i, s in enumerate(sets) if len(s)]
-                short = X.mix64(signatures([sets[i] for i in rows])).astype(np.uint16) if rows else []
-                ids = batch.column("doc_id").slice(at, end - at).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in short], pa.binary())], schema=schema)
-
-    return run
-
-
-def _alike_in_tile(percent: int):
-    """Pairs of a row of the first table and one of the second that lie in different components and may be alike."""
-    need = int((percent / 100 - MARGIN) * BINS)
-
-    def run(few: pa.Table, all_: pa.Table) -> pa.Table:
-        ids, n, label = (all_[c].to_numpy() for c in ("cls", "n", "label"))
-        sigs = np.frombuffer(b"".join(all_["sig"].to_pylist()), np.uint16).reshape(-1, BINS)
-        low, high = [], []
-        for a, m, own, sig in zip(*(few[c].to_pylist() for c in ("cls", "n", "label", "sig")), strict=True):
-            at = np.flatnonzero((label != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            at = at[(sigs[at] == np.frombuffer(sig, np.uint16)).sum(axis=1) >= need]
-            low += np.minimum(ids[at], a).tolist()
-            high += np.maximum(ids[at], a).tolist()
-        return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _across_components(texts: DataFrame, seen: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidates (a, b) of all members of a bucket that lie in different components; seen has (bucket, cls, n, label).
-
-    Every member outside the bucket's largest component is compared with every member by signature, in tiles that tasks
-    take one by one; no pairs but the candidates are made. seen must be checkpointed.
-    """
-    sizes = seen.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    sizes = cut(sizes.groupBy("bucket").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.max("c").alias("c"), F.sum("c").alias("m")))
-    sizes = sizes.select("bucket", "main", F.ceil((F.col("m") - F.col("c")) / TILE).cast("int").alias("down"), F.ceil(F.col("m") / TILE).cast("int").alias("across"))
-    short = cut(map_arrow(_of_classes(texts, seen.select(F.col("cls").alias("doc_id"))), _short_signatures(k), "doc_id long, sig binary"))
-    short = short.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls")
-    rows = seen.join(sizes, "bucket").join(short, "cls")
-
-    def tiles(which: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("cls", F.lit("tile")), F.col(own)).cast("int").alias(f"of_{own}")
-        out = which.select("bucket", "cls", "n", "label", "sig", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"of_{other}"))
-        return out.toDF(*out.columns)  # columns of its own, as both sides come from the same rows
-
-    key = ["bucket", "of_down", "of_across"]
-    few, all_ = tiles(rows.where("label <> main"), "down", "across"), tiles(rows, "across", "down")
-    return few.groupBy(*key).cogroup(all_.groupBy(*key)).applyInArrow(_alike_in_tile(percent), "a long, b long").distinct()
-
-
 def _of_classes(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some ids, which must come from a checkpoint."""
     ids = ids.distinct()
@@ -181,7 +123,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with equal sets form one class, named by its smallest doc_id, so that copies are never paired. Each class enters one
     bucket per band; every bucket emits edges to its smallest class only (a star), which are confirmed on full sets. A
     bucket whose classes then still lie in several components is searched again: completely if small, otherwise around
-    several random centres, and if it stays mixed completely, by signatures in tiles. Null or empty texts: no shingles, own component. Rows that share a doc_id are one document;
+    several random centres and then, round by round, the member with most links so far, until a round finds no link. A
+    link between two members of a large mixed bucket that no such centre reaches is missed. Null or empty texts: no shingles, own component. Rows that share a doc_id are one document;
     rows with a null doc_id take no part (component null, kept).
     """
     small_batches(docs.sparkSession)
@@ -200,7 +143,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     first = cut(shared.where("c <> cls").where(fits("n", "cn")).select(F.col("c").alias("a"), F.col("cls").alias("b")).distinct())
-    groups = connected_components(_linked(texts, first, k, percent))
+    links = cut(_linked(texts, first, k, percent))
+    groups = connected_components(links)
 
     def still_mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
         """Members of the buckets that join several components, with these."""
@@ -220,14 +164,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = large.join(centres, "bucket").where("al <> label").where(fits("n", "an")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
     second = cut(pairs.union(more).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_linked(texts, second, k, percent))
-        groups = connected_components(edges)
-    # all that the centres have not reached
-    seen = still_mixed(large.drop("label"), groups)
-    if not seen.isEmpty():
-        third = cut(_across_components(texts, seen, k, percent).join(second.union(first), ["a", "b"], "left_anti"))
-        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_linked(texts, third, k, percent))
-        groups = connected_components(edges)
+        found = cut(_linked(texts, second, k, percent))
+        links = cut(links.union(found))
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    # then around the member with most links that has been no centre of the bucket yet, until a round finds none
+    open_, done = cut(large.drop("label")), [first, second]
+    used = cut(centres.select("bucket", F.col("a").alias("cls")).union(shared.where(F.col("m") > SMALL_BUCKET).select("bucket", F.col("c").alias("cls"))).distinct())
+    while True:
+        open_ = still_mixed(open_, groups)
+        if open_.isEmpty():
+            break
+        ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+        free = open_.join(used, ["bucket", "cls"], "left_anti").join(ends, "cls", "left")
+        hubs = cut(free.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))).alias("x")).select("bucket", "x.a", "x.an", "x.al"))
+        fresh = open_.join(hubs, "bucket").where("al <> label").where(fits("n", "an")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        for old in done:
+            fresh = fresh.join(old, ["a", "b"], "left_anti")
+        fresh = cut(fresh)
+        found = cut(_linked(texts, fresh, k, percent))
+        if found.isEmpty():
+            break
+        used, links = cut(used.union(hubs.select("bucket", F.col("a").alias("cls")))), cut(links.union(found))
+        done.append(fresh)
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
     named = full.select("doc_id", "n_shingles", "set_key").join(classes, "set_key")
     named = named.join(groups, named["cls"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
