@@ -17,8 +17,8 @@ from graphloom.llm.components import connected_components
 _U = np.uint64
 #: Bins of a signature (a power of two) and bins of a band: 42 bands of 6. A pair at 0.8 shares no band with probability 3e-6.
 BINS, BAND = 256, 6
-#: In the second round, buckets of up to this many classes are compared completely; larger ones with so many random centres.
-SMALL_BUCKET, CENTRES = 32, 8
+#: In the second round, buckets of up to this many classes are compared as rows; larger ones in tiles of about so many classes and shingles a side.
+SMALL_BUCKET, TILE_ROWS, TILE_GRAMS = 32, 512, 512 << 10
 
 
 def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -115,6 +115,71 @@ def _linked(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b").distinct()
 
 
+def _parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the size of each list."""
+    rows = [x for x in column.chunks if len(x)]
+    values = [x.flatten().to_numpy(zero_copy_only=False) for x in rows]
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in rows]
+    return np.concatenate([np.zeros(0, np.int64), *values]), np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+
+
+def _links_in_tile(percent: int):
+    """Links between rows of the first table and rows of the second, from full sets: as many as it takes to join the components that are linked here."""
+
+    def run(few: pa.Table, all_: pa.Table) -> pa.Table:
+        low, high = [], []
+        (own, own_size), (other, size) = _parts(few["shingles"]), _parts(all_["shingles"])
+        known, code = np.unique(own, return_inverse=True)
+        if len(known) and len(other):
+            at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+            met = known[at] == other
+            at, row = at[met], np.repeat(np.arange(len(size)), size)[met]
+            ids, few_ids = all_["cls"].to_numpy(), few["cls"].to_numpy()
+            label, few_label = all_["label"].to_numpy().copy(), few["label"].to_numpy().copy()
+            bounds = np.concatenate([[0], np.cumsum(own_size)])
+            for i, a in enumerate(few_ids):
+                has = np.zeros(len(known), bool)
+                has[code[bounds[i] : bounds[i + 1]]] = True
+                both = np.bincount(row[has[at]], minlength=len(size))
+                for j in np.flatnonzero((label != few_label[i]) & (100 * both >= percent * (own_size[i] + size - both))):
+                    old, new = label[j], few_label[i]
+                    if old != new:
+                        low.append(min(a, ids[j]))
+                        high.append(max(a, ids[j]))
+                        label[label == old], few_label[few_label == old] = new, new
+        return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _across_components(texts: DataFrame, seen: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each bucket; seen has (bucket, cls, label) and must be checkpointed.
+
+    Every member outside the bucket's largest component is compared with every member on full sets. Tasks take the
+    comparison tile by tile, so that no pair becomes a row unless it is a link between components.
+    """
+    sets = map_arrow(_of_classes(texts, seen.select(F.col("cls").alias("doc_id"))), _full_sets(k), "doc_id long, shingles array<long>")
+    sets = cut(sets.withColumnRenamed("doc_id", "cls").withColumn("own", F.size("shingles")))
+    rows = seen.select("bucket", "cls", "label").join(sets.select("cls", "own"), "cls")
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("own").alias("g"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("c", "g", "label")).alias("most"), F.sum("c").alias("c"), F.sum("g").alias("g"))
+
+    def pieces(c, g):
+        return F.greatest(F.lit(1), F.ceil(c / TILE_ROWS), F.ceil(g / TILE_GRAMS)).cast("int")
+
+    sizes = cut(sizes.select("bucket", F.col("most.label").alias("main"), pieces(F.col("c") - F.col("most.c"), F.col("g") - F.col("most.g")).alias("down"), pieces(F.col("c"), F.col("g")).alias("across")))
+    placed = cut(seen.select("bucket", "cls", "label").join(sizes, "bucket"))
+
+    def tiles(which: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("cls", F.lit("tile")), F.col(own)).cast("int").alias(f"of_{own}")
+        out = which.select("bucket", "cls", "label", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"of_{other}")).join(sets.select("cls", "shingles"), "cls")
+        return out.toDF(*out.columns)  # columns of its own, as both sides come from the same rows
+
+    key = ["bucket", "of_down", "of_across"]
+    few, all_ = tiles(placed.where("label <> main"), "down", "across"), tiles(placed, "across", "down")
+    return few.groupBy(*key).cogroup(all_.groupBy(*key)).applyInArrow(_links_in_tile(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text), extra columns unused.
 
@@ -122,10 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     words, or its whole sequence if it has fewer. Two texts are linked if 100 * intersection >= percent * union. Texts
     with equal sets form one class, named by its smallest doc_id, so that copies are never paired. Each class enters one
     bucket per band; every bucket emits edges to its smallest class only (a star), which are confirmed on full sets. A
-    bucket whose classes then still lie in several components is searched again: completely if small, otherwise around
-    several random centres and then, round by round, the member with most links so far, until a round finds no link. A
-    link between two members of a large mixed bucket that no such centre reaches is missed. Null or empty texts: no shingles, own component. Rows that share a doc_id are one document;
-    rows with a null doc_id take no part (component null, kept).
+    bucket whose classes then still lie in several components is compared completely: pair by pair if small, otherwise
+    in tiles, every member outside the largest component with every member. Null or empty texts: no shingles, own
+    component. Rows that share a doc_id are one document; rows with a null doc_id take no part (component null, kept).
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -143,50 +207,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     first = cut(shared.where("c <> cls").where(fits("n", "cn")).select(F.col("c").alias("a"), F.col("cls").alias("b")).distinct())
-    links = cut(_linked(texts, first, k, percent))
-    groups = connected_components(links)
-
-    def still_mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
-        """Members of the buckets that join several components, with these."""
-        seen = shared.join(groups, shared["cls"] == groups["node"], "left").select("bucket", "cls", "n", "m", F.coalesce("component", "cls").alias("label"))
-        open_buckets = cut(seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"))
-        return cut(seen.join(open_buckets, "bucket"))
+    groups = connected_components(_linked(texts, first, k, percent))
 
-    seen = still_mixed(shared, groups)
+    seen = shared.join(groups, shared["cls"] == groups["node"], "left").select("bucket", "cls", "n", "m", F.coalesce("component", "cls").alias("label"))
+    mixed = cut(seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"))
+    seen = cut(seen.join(mixed, "bucket"))
     small = seen.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
     pairs = small.join(other, "bucket").where("a < cls and al <> label").where(fits("n", "an")).select("a", F.col("cls").alias("b"))
-    large = seen.where(F.col("m") > SMALL_BUCKET)
-    centres = large.groupBy("bucket").agg(
-        F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("bucket", "cls", F.lit(i)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))) for i in range(CENTRES)])).alias("centres")
-    )
-    centres = centres.select("bucket", F.explode("centres").alias("x")).select("bucket", "x.a", "x.an", "x.al")
-    more = large.join(centres, "bucket").where("al <> label").where(fits("n", "an")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
-    second = cut(pairs.union(more).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        found = cut(_linked(texts, second, k, percent))
-        links = cut(links.union(found))
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-    # then around the member with most links that has been no centre of the bucket yet, until a round finds none
-    open_, done = cut(large.drop("label")), [first, second]
-    used = cut(centres.select("bucket", F.col("a").alias("cls")).union(shared.where(F.col("m") > SMALL_BUCKET).select("bucket", F.col("c").alias("cls"))).distinct())
-    while True:
-        open_ = still_mixed(open_, groups)
-        if open_.isEmpty():
-            break
-        ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-        free = open_.join(used, ["bucket", "cls"], "left_anti").join(ends, "cls", "left")
-        hubs = cut(free.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))).alias("x")).select("bucket", "x.a", "x.an", "x.al"))
-        fresh = open_.join(hubs, "bucket").where("al <> label").where(fits("n", "an")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        for old in done:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = cut(fresh)
-        found = cut(_linked(texts, fresh, k, percent))
-        if found.isEmpty():
-            break
-        used, links = cut(used.union(hubs.select("bucket", F.col("a").alias("cls")))), cut(links.union(found))
-        done.append(fresh)
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
+    found = [] if second.isEmpty() else [_linked(texts, second, k, percent)]
+    large = cut(seen.where(F.col("m") > SMALL_BUCKET))
+    if not large.isEmpty():
+        found.append(_across_components(texts, large, k, percent))
+    if found:
+        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for more in found:
+            edges = edges.union(more)
+        groups = connected_components(edges)
 
     named = full.select("doc_id", "n_shingles", "set_key").join(classes, "set_key")
     named = named.join(groups, named["cls"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))

@@ -134,6 +134,34 @@ def test_copies_that_only_their_original_links_stay_whole(spark):
     assert set(got.values()) == {0}
 
 
+def test_large_mixed_buckets_are_complete(spark, monkeypatch):
+    """Chains, in which most members are linked to neighbours only, and unrelated texts that share a passage; tiles of few rows."""
+    monkeypatch.setattr(near_dup, "TILE_ROWS", 24)
+    monkeypatch.setattr(near_dup, "TILE_GRAMS", 3000)
+    rng = random.Random(11)
+    rows, passage = [], [f"{rng.choice(WORDS)}{i}" for i in range(90)]
+    for chain in range(3):
+        own = passage + [f"c{chain}w{j}" for j in range(60)]
+        for i in range(70):
+            own = list(own)
+            for j in rng.sample(range(90, 150), rng.randint(1, 5)):
+                own[j] = f"c{chain}i{i}j{j}"
+            rows.append((len(rows), " ".join(own), "s"))
+    rows += [(1000 + i, " ".join(passage + [f"u{i}n{j}" for j in range(rng.randint(15, 40))]), "s") for i in range(90)]
+    rng.shuffle(rows)
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, t, _ in rows for w in [t.split()]}
+    low = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            break
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), 4).collect()}
+    assert got == low and 5 < len(set(low.values())) < len(rows) - 5
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
