@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words of a k-mer, words of the inner s-mers, and anchors of a fingerprint.
 K, S, ANCHORS = 4, 2, 128
-#: Quantiles of doc_id by which rows are dealt to find each document's successor.
-PIECES = 256
+#: Quantiles of doc_id by which rows are dealt to find each document's successor: at least so many, and enough for pieces of about so many rows.
+PIECES, PIECE_ROWS = 256, 20_000
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -82,7 +82,8 @@ def with_successor(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
     window spans more than a piece. Rows with the same key are ordered by the hash of what they carry.
     """
     at = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"))
-    found = at.agg(F.min("k"), F.percentile_approx("k", [i / PIECES for i in range(1, PIECES)], 100_000)).first()
+    pieces = max(PIECES, -(-at.count() // PIECE_ROWS))
+    found = at.agg(F.min("k"), F.percentile_approx("k", [i / pieces for i in range(1, pieces)], max(100_000, 10 * pieces))).first()
     if found[0] is None:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     bounds = sorted({found[0], *found[1]})
