@@ -103,9 +103,18 @@ UNION ALL SELECT n_name, 'SUPP_IN', 'Supplier', NULL, NULL FROM nation JOIN supp
     "snapshot_other": ("USING SNAPSHOT('s1', 0) ON [Event, Nation] MATCH (n:Nation)<-[:CUST_IN]-(c:Customer)-[:HAS_EVENT]->(e:Event) RETURN count(*) AS n", {}, f"SELECT count(*) AS n FROM {_N_C_E}"),
     "param_query": ("MATCH (c:Customer) WHERE c.c_mktsegment = $seg AND c.c_acctbal > $0 RETURN c.c_custkey AS k", {"seg": "BUILDING", 0: 5000}, "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000"),
     "time_compare": ("MATCH (o:Order) WHERE o.o_orderdate < '1995-01-01' AND o.o_orderdate >= $from RETURN count(*) AS n", {"from": 757382400000}, "SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' AND o_orderdate >= make_timestamp(757382400000000)"),
+    # the queries above that hold to some ids, over whole tables
+    "pred_label_whole": ("MATCH (o:Order)-[r:HAS_PART|SHIPPED_BY]->(x) WHERE x:Supplier RETURN o.o_orderkey AS k, x.s_suppkey AS s", {}, "SELECT o_orderkey AS k, s_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"),
+    "hop_inferred_whole": ("MATCH (c:Customer)-[:PLACED]->(o)-[:HAS_PART]->(p) RETURN c.c_custkey AS c, o.o_orderkey AS o, p.p_name AS p", {}, "SELECT c_custkey AS c, o_orderkey AS o, p_name AS p FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"),
+    "edge_inline_props_whole": ("MATCH (o:Order)-[l:HAS_PART {l_returnflag: 'R'}]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p", {}, "SELECT o_orderkey AS o, p_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'"),
+    "comma_pattern_whole": ("MATCH (c:Customer)-[:CUST_IN]->(n:Nation), (s:Supplier)-[:SUPP_IN]->(n) RETURN n.n_name AS n, count(*) AS pairs", {}, f"SELECT n.n_name AS n, count(*) AS pairs FROM {_C_N} JOIN supplier ON s_nationkey = n.n_nationkey GROUP BY 1"),
+    "two_match_whole": ("MATCH (c:Customer)-[:CUST_IN]->(n:Nation) MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 50000 RETURN n.n_name AS n, o.o_orderkey AS o", {}, f"SELECT n.n_name AS n, o_orderkey AS o FROM {_C_N} JOIN orders ON o_custkey = c.c_custkey WHERE o_totalprice > 50000"),
+    "rel_unique_whole": ("MATCH (a:Customer)-[:CUST_IN]->(n:Nation)<-[:CUST_IN]-(b:Customer) RETURN n.n_name AS n, count(*) AS pairs", {}, "SELECT n_name AS n, count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey JOIN nation ON n_nationkey = a.c_nationkey GROUP BY 1"),
+    "union_all_whole": ("MATCH (c:Customer) RETURN c.c_nationkey AS nk UNION ALL MATCH (s:Supplier) RETURN s.s_nationkey AS nk", {}, "SELECT c_nationkey AS nk FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
+    "virt_reversed_whole": ("MATCH (e:Event)<-[:HAS_EVENT]-(c:Customer) RETURN e.event_id AS e, c.c_name AS c", {}, "SELECT event_id AS e, c_name AS c FROM events JOIN customer ON user_id = c_custkey"),
 }
 
-RELAXED = {"virt_relaxed", "virt_reversed"}
+RELAXED = {"virt_relaxed", "virt_reversed", "virt_reversed_whole"}
 
 
 def _graph(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -123,6 +132,12 @@ def project_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query("MATCH (c:Customer) WHERE c.c_custkey < 30 RETURN c AS c PROJECT BY {Customer: [c_name, c_nationkey]}").select("c.*")
 
 
+def project_by_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROJECT BY on every node of a label, its struct flattened."""
+    engine = GraphEngine(spark, tpch_catalog(spark, sf_dir))
+    return engine.query("MATCH (c:Customer) RETURN c AS c PROJECT BY {Customer: [c_name, c_nationkey]}").select("c.*")
+
+
 def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named path, its steps joined to a text."""
     engine = GraphEngine(spark, tpch_catalog(spark, sf_dir))
@@ -148,10 +163,11 @@ def raw_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphEngine(spark, tpch_catalog(spark, sf_dir)).sql("SELECT n_regionkey AS r, count(*) AS n FROM nation_raw GROUP BY n_regionkey")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _graph(name) for name in GRAPH_QUERIES} | {f.__name__: f for f in (project_by, path_nodes, return_star, entity_union, raw_sql)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _graph(name) for name in GRAPH_QUERIES} | {f.__name__: f for f in (project_by, project_by_whole, path_nodes, return_star, entity_union, raw_sql)}
 
 SQL = {name: sql for name, (_, _, sql) in GRAPH_QUERIES.items()} | {
     "project_by": "SELECT 'Customer' AS label, c_name, c_nationkey FROM customer WHERE c_custkey < 30",
+    "project_by_whole": "SELECT 'Customer' AS label, c_name, c_nationkey FROM customer",
     "path_nodes": "SELECT 'node:Region:' || r_regionkey || '/edge:IN_REGION:' || n_nationkey || '/node:Nation:' || n_nationkey || '/edge:SUPP_IN:' || s_suppkey || '/node:Supplier:' || s_suppkey AS p FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'",
     "return_star": "SELECT n_nationkey AS n, 'IN_REGION' AS t, r_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey",
     "entity_union": "SELECT 'Region' AS l, CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region UNION SELECT 'Nation', n_nationkey, n_name FROM nation",
