@@ -3,6 +3,6 @@
 from graphloom.engine import GraphEngine
 from graphloom.errors import GraphQueryError, SyntaxRejected, VirtualEdgeRejected
 from graphloom.sources.catalog import GraphCatalog
-from graphloom.sources.lookup import LookupSource
+from graphloom.sources.lookup import LookupSource, Request
 
-__all__ = ["GraphCatalog", "GraphEngine", "GraphQueryError", "LookupSource", "SyntaxRejected", "VirtualEdgeRejected"]
+__all__ = ["GraphCatalog", "GraphEngine", "GraphQueryError", "LookupSource", "Request", "SyntaxRejected", "VirtualEdgeRejected"]

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +22,7 @@ from graphloom.operators.project import project, shown
 from graphloom.plans import ast as A
 from graphloom.plans.parser import parse
 from graphloom.plans.scope import check
+from graphloom.plans.usage import needs_after
 from graphloom.sources.catalog import GraphCatalog
 
 # Rows of an answer without LIMIT, with and without other sources, and at most.
@@ -32,10 +38,10 @@ class Answer:
 
 
 class GraphEngine:
-    """Answers queries over a catalog. ``strict_boundaries``: virtual edges only where the language contract allows them."""
+    """Answers queries over a catalog. ``strict_boundaries``: virtual edges only where the language contract allows them. ``timeout``: seconds after which ``execute`` and ``execute_records`` cancel a query's jobs."""
 
-    def __init__(self, spark: SparkSession, catalog: GraphCatalog, strict_boundaries: bool = True):
-        self.spark, self.catalog, self.strict = spark, catalog, strict_boundaries
+    def __init__(self, spark: SparkSession, catalog: GraphCatalog, strict_boundaries: bool = True, timeout: float | None = None):
+        self.spark, self.catalog, self.strict, self.timeout = spark, catalog, strict_boundaries, timeout
 
     def query(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
         """The answer as a lazy DataFrame without implicit limits: nodes and edges as structs, paths as arrays."""
@@ -75,14 +81,41 @@ class GraphEngine:
     def _collected(self, answer: Answer) -> list:
         most = MOST_ROWS if answer.limited else DEFAULT_ROWS_EXTERNAL if answer.external else DEFAULT_ROWS
         try:
-            return answer.frame.limit(most).collect()
+            with self._cancelled_in_time() as expired:
+                return answer.frame.limit(most).collect()
         except PySparkException as e:
+            if expired.is_set():
+                raise GraphQueryError(f"The query took over {self.timeout} s", errors.EXECUTION) from e
             raise GraphQueryError(str(e).split("JVM stacktrace")[0][:2000], errors.EXTERNAL_SOURCE if "lookup failed" in str(e) else errors.EXECUTION) from e
+        except Py4JJavaError as e:  # a job that was cancelled
+            raise GraphQueryError(f"The query took over {self.timeout} s" if expired.is_set() else str(e)[:2000], errors.EXECUTION) from e
+
+    @contextmanager
+    def _cancelled_in_time(self) -> Iterator[threading.Event]:
+        """Jobs of the block are cancelled when the timeout has passed; the event says whether it has."""
+        expired, tag = threading.Event(), f"graphloom-{uuid.uuid4().hex}"
+        if self.timeout is None:
+            yield expired
+            return
+
+        def expire() -> None:
+            expired.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        self.spark.sparkContext.addJobTag(tag)
+        clock = threading.Timer(self.timeout, expire)
+        clock.daemon = True
+        clock.start()
+        try:
+            yield expired
+        finally:
+            clock.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
 
     def _answer(self, text: str, params: dict[str, Any] | None) -> Answer:
         query = parse(text)
         check(query, self.catalog, self.strict)
-        ctx = Context(self.catalog, params or {})
+        ctx = Context(self.spark, self.catalog, params or {})
         if query.snapshot:
             ctx.snapshot = (query.snapshot.strategy, _moment(ctx, query.snapshot.at), query.snapshot.labels)
         try:
@@ -103,11 +136,12 @@ class GraphEngine:
         return Answer(frame, kinds, last is not None and last.limit is not None, ctx.external)
 
     def _single(self, ctx: Context, part: A.Single, by_label: dict[str, tuple[str, ...]]) -> tuple[DataFrame, dict[str, str]]:
-        scope = None
-        for clause in part.clauses:
+        scope, needs = None, needs_after(part)
+        for clause, ctx.needs in zip(part.clauses, needs, strict=False):
             scope = match(ctx, scope, clause) if isinstance(clause, A.Match) else project(ctx, scope, clause)[0]
         if part.returns is None:
             return shown(scope, list(scope.vars), by_label)
+        ctx.needs = needs[-1]
         scope, names = project(ctx, scope, part.returns)
         return shown(scope, names, by_label)
 

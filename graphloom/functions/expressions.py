@@ -7,6 +7,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,32 @@ from graphloom.errors import GraphQueryError, SyntaxRejected
 from graphloom.plans import ast as A
 
 
+_columns: dict[str, Column] = {}
+_columns_of: list[SparkContext | None] = [None]
+
+
 def c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    """The column of a name. Columns are remembered as long as the context lives, since making one is a call to the JVM."""
+    if _columns_of[0] is not SparkContext._active_spark_context or len(_columns) > 10_000:
+        _columns.clear()
+        _columns_of[0] = SparkContext._active_spark_context
+    if name not in _columns:
+        _columns[name] = F.col(f"`{name}`")
+    return _columns[name]
+
+
+def types_of(frame: DataFrame) -> dict[str, T.DataType]:
+    """Types by column name. They are kept with the frame, as reading a schema is a call to the JVM."""
+    found = frame.__dict__.get("_column_types")
+    if found is None:
+        found = frame.__dict__["_column_types"] = {f.name: f.dataType for f in frame.schema.fields}
+    return found
+
+
+def typed(frame: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    """The frame, whose types are known already."""
+    frame.__dict__["_column_types"] = types
+    return frame
 
 
 @dataclass(frozen=True)
@@ -65,7 +90,10 @@ class Scope:
     known: dict[A.Expr, str] = field(default_factory=dict)  # expressions that are columns already
 
     def types(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.frame.schema.fields}
+        return types_of(self.frame)
+
+    def where(self, test: Column) -> None:
+        self.frame = typed(self.frame.where(test), types_of(self.frame))
 
 
 def kind_of(t: T.DataType) -> str:
@@ -139,7 +167,11 @@ class Compiler:
     """Compiles expressions in a scope."""
 
     def __init__(self, scope: Scope, params: dict[str, Any], allow_aggregates: bool = False):
-        self.scope, self.params, self.types = scope, params, scope.types()
+        self.scope, self.params = scope, params
+
+    @property
+    def types(self) -> dict[str, T.DataType]:
+        return self.scope.types()
 
     def truth(self, e: A.Expr) -> Column:
         col, t = self(e)

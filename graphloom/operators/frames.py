@@ -7,14 +7,15 @@ from functools import reduce
 from itertools import count
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import errors
 from graphloom.errors import GraphQueryError
-from graphloom.functions.expressions import Entity, c, kind_of
+from graphloom.functions.expressions import Entity, c, kind_of, typed, types_of
 from graphloom.plans import ast as A
+from graphloom.plans.usage import KEYS
 from graphloom.sources.catalog import EdgeType, GraphCatalog, NodeLabel
 
 
@@ -22,15 +23,26 @@ from graphloom.sources.catalog import EdgeType, GraphCatalog, NodeLabel
 class Context:
     """What a compilation needs beside the query."""
 
+    spark: SparkSession
     catalog: GraphCatalog
     params: dict[str, Any]
     snapshot: tuple[str, int, tuple[str, ...]] | None = None
     numbers: count = field(default_factory=count)
     external: bool = False  # whether a virtual label was read
+    needs: dict[str, set[str] | None] | None = None  # properties read of each variable from the present clause on; None: all
+    where: A.Expr | None = None  # the condition of the present MATCH
 
     def prefix(self) -> str:
         return f"b{next(self.numbers)}"
 
+    def narrowed(self, entity: Entity, name: str) -> Entity:
+        """The entity with those of its properties that are read of the name from here on, so that no others are shuffled."""
+        read = None if self.needs is None else self.needs.get(name, set())
+        if read is None:
+            return entity
+        keys = self.catalog.key_columns(entity.labels) if KEYS in read else set()
+        return Entity(entity.kind, entity.prefix, entity.labels, tuple(p for p in entity.props if p in read or p in keys))
+
 
 def at_snapshot(rows: DataFrame, label: NodeLabel, snapshot: tuple[str, int, tuple[str, ...]] | None) -> DataFrame:
     """The rows of a virtual label that a snapshot shows.
@@ -59,28 +71,44 @@ def at_snapshot(rows: DataFrame, label: NodeLabel, snapshot: tuple[str, int, tup
 
 
 def as_node(rows: DataFrame, label: NodeLabel, prefix: str) -> tuple[DataFrame, Entity]:
+    own = types_of(rows)
     entity = Entity("node", prefix, (label.name,), tuple(rows.columns))
     named = [c(p).alias(f"{prefix}:{p}") for p in rows.columns]
-    return rows.select(c(label.id_column).alias(f"{prefix}@id"), F.lit(label.name).alias(f"{prefix}@label"), *named), entity
+    types = {f"{prefix}@id": own[label.id_column], f"{prefix}@label": T.StringType()} | {f"{prefix}:{p}": own[p] for p in rows.columns}
+    return typed(rows.select(c(label.id_column).alias(f"{prefix}@id"), F.lit(label.name).alias(f"{prefix}@label"), *named), types), entity
 
 
 def node_frame(ctx: Context, name: str, prefix: str) -> tuple[DataFrame, Entity]:
+    """A label's rows with prefixed columns. The catalog remembers them, as the same rows and prefix come again with each query."""
     label = ctx.catalog.label(name)
     ctx.external |= label.virtual
-    return as_node(at_snapshot(label.frame(), label, ctx.snapshot), label, prefix)
+    rows = label.frame()
+    if ctx.snapshot and label.virtual:
+        return as_node(at_snapshot(rows, label, ctx.snapshot), label, prefix)
+    return ctx.catalog.remembered(rows, ("node", label, prefix), lambda: as_node(rows, label, prefix))
 
 
-def edge_frame(edge: EdgeType, prefix: str) -> tuple[DataFrame, Entity]:
+def edge_frame(ctx: Context, edge: EdgeType, prefix: str) -> tuple[DataFrame, Entity]:
+    """An edge table's rows with prefixed columns."""
     rows = edge.frame()
+    return ctx.catalog.remembered(rows, ("edge", edge, prefix), lambda: _edge_frame(edge, rows, prefix))
+
+
+def _edge_frame(edge: EdgeType, rows: DataFrame, prefix: str) -> tuple[DataFrame, Entity]:
+    own = types_of(rows)
     props = tuple(x for x in rows.columns if x not in (edge.start, edge.end))
-    # without an id column, rows that are equal throughout are one edge
-    own = c(edge.id_column) if edge.id_column else F.xxhash64(*[c(x) for x in rows.columns])
-    metas = [own.alias(f"{prefix}@id"), F.lit(edge.name).alias(f"{prefix}@label"), c(edge.start).alias(f"{prefix}@start"), c(edge.end).alias(f"{prefix}@end")]
-    return rows.select(*metas, *[c(p).alias(f"{prefix}:{p}") for p in props]), Entity("edge", prefix, (edge.name,), props)
+    # Without an id column, rows that are equal throughout are one edge: its id is the row itself, so that no two edges share one.
+    identity = c(edge.id_column) if edge.id_column else F.struct(*[c(x) for x in rows.columns])
+    kind = own[edge.id_column] if edge.id_column else T.StructType([T.StructField(x, own[x]) for x in rows.columns])
+    metas = [identity.alias(f"{prefix}@id"), F.lit(edge.name).alias(f"{prefix}@label"), c(edge.start).alias(f"{prefix}@start"), c(edge.end).alias(f"{prefix}@end")]
+    types = {f"{prefix}@id": kind, f"{prefix}@label": T.StringType(), f"{prefix}@start": own[edge.start], f"{prefix}@end": own[edge.end]} | {f"{prefix}:{p}": own[p] for p in props}
+    return typed(rows.select(*metas, *[c(p).alias(f"{prefix}:{p}") for p in props]), types), Entity("edge", prefix, (edge.name,), props)
 
 
 def keys_equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
     """Equality of join keys; keys of different kinds compare as text."""
+    if kind_of(ta) == "other" and kind_of(tb) == "other" and ta != tb:
+        return F.to_json(a) == F.to_json(b)
     return a == b if kind_of(ta) == kind_of(tb) else a.cast("string") == b.cast("string")
 
 
@@ -121,13 +149,14 @@ def union(frames: list[DataFrame]) -> DataFrame:
         return frames[0]
     types: dict[str, T.DataType] = {}
     for frame in frames:
-        for f in frame.schema.fields:
-            types[f.name] = common_type(types[f.name], f.dataType) if f.name in types else f.dataType
+        for name, kind in types_of(frame).items():
+            types[name] = common_type(types[name], kind) if name in types else kind
     out = []
     for frame in frames:
-        own = {f.name: f.dataType for f in frame.schema.fields}
-        out.append(frame.select(*[(as_type(c(n), own[n], t) if n in own else F.lit(None).cast(t)).alias(n) for n, t in types.items()]))
-    return reduce(DataFrame.union, out)
+        own = types_of(frame)
+        same = list(own) == list(types) and all(own[n] == t for n, t in types.items())
+        out.append(frame if same else frame.select(*[(as_type(c(n), own[n], t) if n in own else F.lit(None).cast(t)).alias(n) for n, t in types.items()]))
+    return typed(reduce(DataFrame.union, out), types)
 
 
 def merged(entities: list[Entity]) -> Entity:

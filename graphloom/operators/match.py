@@ -2,50 +2,100 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom import errors
 from graphloom.errors import GraphQueryError, SyntaxRejected
-from graphloom.functions.expressions import Compiler, Entity, PathOf, Scope, c
+from graphloom.functions.expressions import Compiler, Entity, PathOf, Scope, c, typed, types_of
 from graphloom.operators.frames import Context, as_node, at_snapshot, bound_props, edge_frame, keys_equal, merged, node_frame, union
 from graphloom.plans import ast as A
-from graphloom.sources.catalog import ID, EdgeType, VirtualEdge
-from graphloom.sources.lookup import LookupSource
+from graphloom.plans.usage import KEYS, conditions
+from graphloom.sources.catalog import ID, EdgeType, NodeLabel, VirtualEdge
+from graphloom.sources.lookup import LookupSource, Request
 
 
 def _filtered(ctx: Context, frame: DataFrame, entity: Entity, props: A.MapOf | A.Param | None) -> DataFrame:
+    pairs = bound_props(ctx, props)
+    if not pairs:
+        return frame
     scope = Scope(frame, {"@own": entity})
-    for key, value in bound_props(ctx, props):
-        frame = frame.where(Compiler(scope, ctx.params).truth(A.Compare("=", A.Prop(A.Var("@own"), key), value)))
-    return frame
+    for key, value in pairs:
+        scope.where(Compiler(scope, ctx.params).truth(A.Compare("=", A.Prop(A.Var("@own"), key), value)))
+    return scope.frame
 
 
 def _of_labels(ctx: Context, frame: DataFrame, entity: Entity, labels: tuple[str, ...]) -> DataFrame:
     """Keeps the nodes that also have the other labels: those whose id stands under each of them."""
     for other in labels:
         if other not in entity.labels:
-            ids = node_frame(ctx, other, "other")[0].select(c("other@id"))
-            frame = frame.join(ids, frame[f"`{entity.prefix}@id`"] == ids["`other@id`"], "left_semi")
+            prefix = ctx.prefix()
+            ids = node_frame(ctx, other, prefix)[0]
+            frame = typed(frame.join(ids, c(f"{entity.prefix}@id") == c(f"{prefix}@id"), "left_semi"), types_of(frame))
     return frame
 
 
-def _scan(ctx: Context, node: A.Node) -> tuple[DataFrame, Entity]:
-    frame, entity = node_frame(ctx, node.labels[0], ctx.prefix())
+def _scan(ctx: Context, node: A.Node, whole: bool) -> tuple[DataFrame, Entity]:
+    if _lookup(ctx, node.labels[0]):
+        label = ctx.catalog.label(node.labels[0])
+        ctx.external = True
+        request = _request(ctx, label, node, whole, "", ())
+        frame, entity = as_node(at_snapshot(label.rows.search(ctx.spark, request), label, ctx.snapshot), label, ctx.prefix())
+    else:
+        frame, entity = node_frame(ctx, node.labels[0], ctx.prefix())
     return _filtered(ctx, _of_labels(ctx, frame, entity, node.labels), entity, node.props), entity
 
 
-def _is_lookup(ctx: Context, label: str) -> bool:
-    return label in ctx.catalog.labels and isinstance(ctx.catalog.labels[label].rows, LookupSource)
+def _lookup(ctx: Context, label: str) -> LookupSource | None:
+    rows = ctx.catalog.labels[label].rows if label in ctx.catalog.labels else None
+    return rows if isinstance(rows, LookupSource) else None
+
+
+def _told(ctx: Context, label: NodeLabel, node: A.Node) -> tuple[tuple[str, str, object], ...]:
+    """The conditions on a node that its source can be told: inline properties and those of the WHERE that must hold."""
+    scope = Scope(None)
+    found = [(k, "=", v) for k, v in bound_props(ctx, node.props)] + conditions(ctx.where, node.var)
+    columns = label.rows.fields().fieldNames()
+    out = []
+    for key, op, value in found:
+        key = label.id_column if key in ("id", "_id") and key not in columns else key
+        if key in columns:
+            out.append((key, op, Compiler(scope, ctx.params).value(value)))
+    return tuple(out)
+
+
+def _request(ctx: Context, label: NodeLabel, node: A.Node, whole: bool, operator: str, output: tuple[str, ...], keys: tuple[str, ...] = ()) -> Request:
+    """What a lookup label is asked for, beside keys. ``output``: the columns that stand for all of them where a node is read as a whole."""
+    filters = _told(ctx, label, node)
+    read: set[str] | None = set()
+    if whole or ctx.needs is None:
+        read = None
+    elif node.var:
+        read = ctx.needs.get(node.var, set())
+    if read is not None and KEYS in read:
+        read = None
+    if read is None and output:
+        read = set(output)
+    needed = {label.id_column, label.rows.key, label.time_column, *label.entity_key, *keys, *(f[0] for f in filters)}
+    ordered = () if read is None else tuple(n for n in label.rows.fields().fieldNames() if n in read | needed)
+    snapshot = ctx.snapshot[:2] if ctx.snapshot and label.name in ctx.snapshot[2] else None
+    return Request(label.rows.key, None, filters, ordered, operator, snapshot)
 
 
 class _Hop:
-    """One step from a bound node over a relationship to a next node; the union of all edge types and directions that fit."""
+    """One step from a bound node over a relationship to a next node; the union of all edge types and directions that fit.
+
+    Without ``with_edge`` nobody reads the edge of a foreign key or virtual edge, so its columns are left out.
+    """
 
-    def __init__(self, ctx: Context, frame: DataFrame, left: Entity, rel: A.Rel, right: A.Node, backwards: bool):
+    def __init__(self, ctx: Context, frame: DataFrame, left: Entity, rel: A.Rel, right: A.Node, backwards: bool, with_edge: bool, whole: bool):
         self.ctx, self.frame, self.left, self.rel, self.right = ctx, frame, left, rel, right
+        self.with_edge, self.whole = with_edge or rel.props is not None, whole
         self.edge_prefix, self.node_prefix = ctx.prefix(), ctx.prefix()
         ways = {"out": (False,), "in": (True,), "both": (False, True)}[rel.direction]
         self.ways = tuple(w != backwards for w in ways)  # True: the edge leads from right to left
@@ -69,7 +119,7 @@ class _Hop:
         return union([x[0] for x in found]), merged([x[1] for x in found]), merged([x[2] for x in found])
 
     def _from(self, label: str) -> DataFrame:
-        return self.frame if self.left.labels == (label,) else self.frame.where(self.left.meta("label") == label)
+        return self.frame if self.left.labels == (label,) else typed(self.frame.where(self.left.meta("label") == label), types_of(self.frame))
 
     def _to(self, label: str) -> tuple[DataFrame, Entity]:
         frame, node = node_frame(self.ctx, label, self.node_prefix)
@@ -84,9 +134,7 @@ class _Hop:
             return []
         left, (right, node) = self._from(here), self._to(there)
         start, end = (node, self.left) if into else (self.left, node)
-        tl, tr = (dict(f.dtypes) for f in (left, right))
-        types = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
-        del tl, tr
+        types = types_of(left) | types_of(right)
 
         def same(a: str, b: str):
             return keys_equal(c(a), types[a], c(b), types[b])
@@ -95,21 +143,31 @@ class _Hop:
             owner, other = (start, end) if edge.owner == "start" else (end, start)
             if edge.key not in owner.props:
                 raise GraphQueryError(f"Label {owner.labels} has no column {edge.key}", errors.METADATA_INVALID)
-            out = left.join(right, same(f"{owner.prefix}:{edge.key}", f"{other.prefix}@id"))
-            own = Entity("edge", self.edge_prefix, (edge.name,), ())
-            metas = {"id": owner.meta("id"), "label": F.lit(edge.name), "start": start.meta("id"), "end": end.meta("id")}
-            out = out.withColumns({f"{self.edge_prefix}@{k}": v for k, v in metas.items()})
-            out = _filtered(self.ctx, out, own, self.rel.props)
+            out = typed(left.join(right, same(f"{owner.prefix}:{edge.key}", f"{other.prefix}@id")), types)
+            out, own = self._edge_of(out, edge.name, owner, start, end)
         else:
-            rows, own = edge_frame(edge, self.edge_prefix)
+            rows, own = edge_frame(self.ctx, edge, self.edge_prefix)
             rows = _filtered(self.ctx, rows, own, self.rel.props)
-            types |= {f.name: f.dataType for f in rows.schema.fields}
+            types |= types_of(rows)
             near, far = ("end", "start") if into else ("start", "end")
             out = left.join(rows, same(f"{self.left.prefix}@id", f"{own.prefix}@{near}")).join(right, same(f"{own.prefix}@{far}", f"{node.prefix}@id"))
+            out = typed(out, types)
         if into and len(self.ways) == 2 and here == there:  # a loop counts once
-            out = out.where(~self.left.meta("id").eqNullSafe(node.meta("id")))
+            out = typed(out.where(~self.left.meta("id").eqNullSafe(node.meta("id"))), types_of(out))
         return [(out, own, node)]
 
+    def _edge_of(self, out: DataFrame, name: str, owner: Entity | None, start: Entity, end: Entity) -> tuple[DataFrame, Entity]:
+        """The rows with an edge that has no table: its id is the owner's, or start and end."""
+        own = Entity("edge", self.edge_prefix, (name,), ())
+        if not self.with_edge:
+            return out, own
+        types = types_of(out)
+        pair = F.concat_ws("->", start.meta("id").cast("string"), end.meta("id").cast("string"))
+        metas = {"id": owner.meta("id") if owner else pair, "label": F.lit(name), "start": start.meta("id"), "end": end.meta("id")}
+        kinds = {"id": types[f"{owner.prefix}@id"] if owner else T.StringType(), "label": T.StringType(), "start": types[f"{start.prefix}@id"], "end": types[f"{end.prefix}@id"]}
+        more = typed(out.withColumns({f"{own.prefix}@{k}": v for k, v in metas.items()}), types | {f"{own.prefix}@{k}": v for k, v in kinds.items()})
+        return _filtered(self.ctx, more, own, self.rel.props), own
+
     def _virtual(self, edge: VirtualEdge, into: bool) -> list[tuple[DataFrame, Entity, Entity]]:
         self.ctx.external = True
         from_virtual = edge.first_hop_only != into  # whether the virtual side is on the left
@@ -127,24 +185,19 @@ class _Hop:
         if edge.physical_label and (there if from_virtual else here) != edge.physical_label:
             return []
         left = self._from(here) if here else self.frame
-        if _is_lookup(self.ctx, there):
+        if _lookup(self.ctx, there):
             return [self._looked_up(edge, left, there)]
         right, node = self._to(there)
         return [self._joined(edge, left, right, node, from_virtual, into)]
 
     def _joined(self, edge: VirtualEdge, left: DataFrame, right: DataFrame, node: Entity, from_virtual: bool, into: bool) -> tuple[DataFrame, Entity, Entity]:
-        types = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
+        types = types_of(left) | types_of(right)
         physical, virtual = (node, self.left) if from_virtual else (self.left, node)
-        test = F.lit(True)
-        for mine, theirs in edge.mapping:
-            a, b = self._key(physical, mine), self._key(virtual, theirs)
-            test = test & keys_equal(c(a), types[a], c(b), types[b]) if mine != edge.mapping[0][0] or theirs != edge.mapping[0][1] else keys_equal(c(a), types[a], c(b), types[b])
-        out = left.join(right, test)
-        own = Entity("edge", self.edge_prefix, (edge.name,), ())
+        keys = [(self._key(physical, mine), self._key(virtual, theirs)) for mine, theirs in edge.mapping]
+        out = typed(left.join(right, reduce(and_, [keys_equal(c(a), types[a], c(b), types[b]) for a, b in keys])), types)
         start, end = (node, self.left) if into else (self.left, node)
-        pair = F.concat_ws("->", start.meta("id").cast("string"), end.meta("id").cast("string"))
-        metas = {"id": pair, "label": F.lit(edge.name), "start": start.meta("id"), "end": end.meta("id")}
-        return out.withColumns({f"{self.edge_prefix}@{k}": v for k, v in metas.items()}), own, node
+        out, own = self._edge_of(out, edge.name, None, start, end)
+        return out, own, node
 
     def _looked_up(self, edge: VirtualEdge, left: DataFrame, there: str) -> tuple[DataFrame, Entity, Entity]:
         """The rows of a lookup source for the distinct keys on the left, then an ordinary join."""
@@ -152,7 +205,9 @@ class _Hop:
         mine = next((a for a, b in edge.mapping if b == label.rows.key or b == ID and label.id_column == label.rows.key), None)
         if mine is None:
             raise GraphQueryError(f"Virtual edge {edge.name} does not map the key {label.rows.key} of its lookup source", errors.METADATA_INVALID)
-        rows = at_snapshot(label.rows.rows(left.select(c(self._key(self.left, mine)).alias("key"))), label, self.ctx.snapshot)
+        theirs = tuple(b for _, b in edge.mapping if b != ID)
+        request = _request(self.ctx, label, self.right, self.whole, edge.operator, edge.output_fields, theirs)
+        rows = at_snapshot(label.rows.rows(left.select(c(self._key(self.left, mine)).alias("key")), request), label, self.ctx.snapshot)
         right, node = as_node(rows, label, self.node_prefix)
         right = _filtered(self.ctx, right, node, self.right.props)
         return self._joined(edge, left, right, node, False, self.ways[0])
@@ -165,21 +220,32 @@ class _Hop:
         return f"{entity.prefix}:{column}"
 
 
-def _with_path(ctx: Context, scope: Scope | None, path: A.Path) -> tuple[Scope, list[tuple[A.Rel, Entity]]]:
+def _start(ctx: Context, path: A.Path) -> int:
+    """The node that a path is built from: a searchable lookup label with an equality, else the first label that can be scanned, else any searchable one."""
+    named = [(i, n, _lookup(ctx, n.labels[0])) for i, n in enumerate(path.nodes) if n.labels]
+    for i, n, source in named:
+        if source and source.searchable and any(op == "=" for _, op, _ in _told(ctx, ctx.catalog.label(n.labels[0]), n)):
+            return i
+    for i, _, source in sorted(named, key=lambda x: (bool(x[2]), x[0])):
+        if not source or source.searchable:
+            return i
+    raise GraphQueryError("A pattern needs a node whose label can be scanned", errors.EXTERNAL_SOURCE)
+
+
+def _with_path(ctx: Context, scope: Scope | None, path: A.Path, shared: bool) -> tuple[Scope, list[tuple[A.Rel, Entity]]]:
+    """The scope joined with a path. ``shared``: whether its edges are compared with each other or with those of other paths."""
     bound = scope.vars if scope else {}
     start = next((i for i, n in enumerate(path.nodes) if n.var and isinstance(bound.get(n.var), Entity)), None)
-    joined = start is not None
+    joined, whole = start is not None, path.var is not None or ctx.needs is None
     if joined:
         frame, first = scope.frame, bound[path.nodes[start].var]
         node = path.nodes[start]
         if node.labels and set(node.labels) != set(first.labels):
-            frame = frame.where(first.meta("label").isin(list(node.labels)))
+            frame = typed(frame.where(first.meta("label").isin(list(node.labels))), types_of(frame))
         frame = _filtered(ctx, frame, first, node.props)
     else:
-        start = next((i for i, n in enumerate(path.nodes) if n.labels and not _is_lookup(ctx, n.labels[0])), None)
-        if start is None:
-            raise GraphQueryError("A pattern needs a node whose label can be scanned", errors.EXTERNAL_SOURCE)
-        frame, first = _scan(ctx, path.nodes[start])
+        start = _start(ctx, path)
+        frame, first = _scan(ctx, path.nodes[start], whole)
     names = dict(bound) if joined else {}
     nodes: dict[int, Entity] = {start: first}
     rels: dict[int, Entity] = {}
@@ -190,12 +256,13 @@ def _with_path(ctx: Context, scope: Scope | None, path: A.Path) -> tuple[Scope,
         rel, node = path.rels[i], path.nodes[there]
         if rel.var and rel.var in {**bound, **names}:
             raise SyntaxRejected(f"Relationship variable `{rel.var}` is bound more than once")
-        frame, edge, found = _Hop(ctx, frame, nodes[here], rel, node, backwards).run()
+        frame, edge, found = _Hop(ctx, frame, nodes[here], rel, node, backwards, whole or bool(rel.var) or shared, whole).run()
         old = names.get(node.var) if node.var else None
         if isinstance(old, Entity):
-            types = {f.name: f.dataType for f in frame.schema.fields}
+            types = types_of(frame)
             same_id = keys_equal(old.meta("id"), types[f"{old.prefix}@id"], found.meta("id"), types[f"{found.prefix}@id"])
             frame = frame.where(same_id & (old.meta("label") == found.meta("label"))).drop(*found.columns)
+            frame = typed(frame, {k: v for k, v in types.items() if k not in found.columns})
             found = old
         elif old is not None:
             raise SyntaxRejected(f"Variable `{node.var}` is not a node")
@@ -205,7 +272,7 @@ def _with_path(ctx: Context, scope: Scope | None, path: A.Path) -> tuple[Scope,
         if rel.var:
             names[rel.var] = edge
     if scope and not joined:
-        frame, names = scope.frame.crossJoin(frame), {**bound, **names}
+        frame, names = typed(scope.frame.crossJoin(frame), types_of(scope.frame) | types_of(frame)), {**bound, **names}
     if path.var:
         if path.var in names:
             raise SyntaxRejected(f"Variable `{path.var}` is already bound")
@@ -214,17 +281,25 @@ def _with_path(ctx: Context, scope: Scope | None, path: A.Path) -> tuple[Scope,
     return Scope(frame, names), [(path.rels[i], e) for i, e in rels.items()]
 
 
+def _may_meet(rels: list[A.Rel]) -> bool:
+    """Whether two relationships of a MATCH could be the same edge."""
+    types = [set(r.types) for r in rels]
+    return any(not a or not b or a & b for a, b in combinations(types, 2))
+
+
 def match(ctx: Context, scope: Scope | None, clause: A.Match) -> Scope:
     """Binding rows of a MATCH: its paths joined on shared variables, no edge used twice, then its WHERE."""
     used: list[tuple[A.Rel, Entity]] = []
+    ctx.where = clause.where
+    shared = _may_meet([r for path in clause.paths for r in path.rels])
     for path in clause.paths:
-        scope, rels = _with_path(ctx, scope, path)
+        scope, rels = _with_path(ctx, scope, path, shared)
         used += rels
-    for (_, a), (_, b) in combinations(used, 2):
+    for (_, a), (_, b) in combinations(used if shared else [], 2):
         if set(a.labels) & set(b.labels):
             types = scope.types()
             same = keys_equal(a.meta("id"), types[f"{a.prefix}@id"], b.meta("id"), types[f"{b.prefix}@id"])
-            scope.frame = scope.frame.where(~((a.meta("label") == b.meta("label")) & same))
+            scope.where(~((a.meta("label") == b.meta("label")) & same))
     if clause.where is not None:
-        scope.frame = scope.frame.where(Compiler(scope, ctx.params).truth(clause.where))
+        scope.where(Compiler(scope, ctx.params).truth(clause.where))
     return scope

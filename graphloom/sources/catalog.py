@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from graphloom.sources.lookup import LookupSource
 
 #: Name of the source of all labels and edges that aren't virtual.
 GRAPH = "graph"
+#: Frames with prefixed columns that a catalog remembers before it starts anew.
+REMEMBERED = 1000
 #: Key of a mapping that stands for the entity's id.
 ID = "_id"
 
@@ -85,6 +88,16 @@ class GraphCatalog:
     edges: dict[str, list[EdgeType]] = field(default_factory=dict)
     virtual_edges: dict[str, VirtualEdge] = field(default_factory=dict)
     sources: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    frames: dict[Any, Any] = field(default_factory=dict, repr=False)
+
+    def remembered(self, rows: DataFrame, key: Any, make: Callable[[], Any]) -> Any:
+        """What ``make`` gave for the key before, if it was for the same DataFrame."""
+        found = self.frames.get(key)
+        if found is None or found[0] is not rows:
+            if len(self.frames) >= REMEMBERED:
+                self.frames.clear()
+            found = self.frames[key] = (rows, make())
+        return found[1]
 
     def register_source(self, name: str, load: Callable[[], DataFrame]) -> None:
         """A named reader; names are found whatever their case."""
@@ -134,6 +147,13 @@ class GraphCatalog:
         except KeyError:
             raise GraphQueryError(f"Unknown label: {name}", errors.METADATA_NOT_FOUND) from None
 
+    def key_columns(self, labels: tuple[str, ...]) -> set[str]:
+        """Columns of the labels by which edges join."""
+        out = {e.key for own in self.edges.values() for e in own if e.rows is None and (e.start_label if e.owner == "start" else e.end_label) in labels}
+        for e in self.virtual_edges.values():
+            out |= {a for a, _ in e.mapping if e.physical_label is None or e.physical_label in labels} | {b for _, b in e.mapping if e.target_label in labels}
+        return out
+
     def is_virtual(self, label: str) -> bool:
         return label in self.labels and self.labels[label].virtual
 
