@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
-from graphloom.llm.common import BROADCAST_IDS, cut, map_arrow, small_batches
+from graphloom.llm.common import BROADCAST_IDS, cut, map_arrow
 from graphloom.llm.components import connected_components
 
 _U = np.uint64
@@ -105,14 +105,22 @@ def _of_classes(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _linked(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose full shingle sets are alike enough; pairs must be checkpointed."""
+    """Of the pairs (a, b) of classes, those whose full shingle sets are alike enough; pairs must be checkpointed.
+
+    The set of b travels with each pair, that of a once for each TILE_ROWS of its pairs, so that a hub's set isn't copied
+    to all its members and its pairs are dealt to many tasks.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     sets = map_arrow(_of_classes(texts, ids), _full_sets(k), "doc_id long, shingles array<long>")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    tiles = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles")))
+    hubs = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).join(tiles, "a")
+    hubs = hubs.select("a", "of_a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    members = pairs.join(tiles.withColumnRenamed("a", "hub"), F.col("a") == F.col("hub"))
+    members = members.select("a", "b", F.pmod(F.xxhash64("b", F.lit("tile")), F.col("tiles")).cast("int").alias("tile"))
+    members = members.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = 100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b").distinct()
+    return members.join(hubs, ["a", "tile"]).where(alike).select("a", "b").distinct()
 
 
 def _parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,13 +199,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     in tiles, every member outside the largest component with every member. Null or empty texts: no shingles, own
     component. Rows that share a doc_id are one document; rows with a null doc_id take no part (component null, kept).
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(map_arrow(texts, _signed(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # checkpointed, so that the joins read it by an exchange of their own and a hot key's rows can be split
     classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("cls")))
-    heads = full.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"])
+    heads = full.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
     banded = heads.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = cut(stars)
