@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprints, language, license_scan, maxscore, mixing, near_dup, piece_bpe, quality, toxicity, warc
-from graphloom.llm.common import fold, table
+from graphloom.llm.common import fold, fresh_folder, table
 
 #: A word [^\x20\x09-\x0D]+
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +36,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.archive_folder(spark)
+    folder = fresh_folder(spark, "warc")
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=1000)
     return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -67,7 +67,7 @@ def words_of(text: str) -> Column:
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.pareto_mix(table(spark, sf_dir, "documents"), words_of("text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", F.round("rank", 9).alias("pareto_rank"), "taken")
 
 
 def tokenizer_model(path: str | None = None) -> bytes:
@@ -138,7 +138,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
   CASE WHEN again THEN head END AS refers_to FROM r""",
     "op9_pareto_mix": f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     CAST('0x' || substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS drawn
   FROM documents
 ), s AS (
@@ -155,11 +155,30 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN over OR level IS NULL THEN CAST(2 * source_size AS DOUBLE)
     ELSE CAST(w * (3 * total - 2 * level.c) AS DOUBLE) / CAST(2 * level.l AS DOUBLE) END AS target FROM l
+), k AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t
 ), r AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY drawn, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, source_size, target, copies, CAST(round(target) AS BIGINT) - copies * source_size AS rest FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+), z AS (
+  SELECT source, size, rest, count(*) AS n FROM r WHERE size > 0 GROUP BY ALL
+), y AS (
+  SELECT source, size, rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open,
+    sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM z
+), x AS (
+  SELECT *, CAST(open AS DOUBLE) * CAST(size AS DOUBLE) >= CAST(below AS DOUBLE) AS certain FROM y
+), g AS (
+  SELECT *, max(CASE WHEN NOT certain THEN {{'s': size, 'o': open, 'b': below}} END) OVER (PARTITION BY source) AS level FROM x
+), p AS (
+  SELECT source, size, CASE WHEN certain OR level IS NULL THEN CAST(1 AS DOUBLE)
+    ELSE greatest(CAST(0 AS DOUBLE), CAST(level.o AS DOUBLE) * CAST(size AS DOUBLE) / CAST(level.b AS DOUBLE)) END AS p FROM g
+), q AS (
+  SELECT r.*, p.p, (CAST(drawn AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM r LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.size = p.size
+), v AS (
+  SELECT *, CASE WHEN p >= 1 THEN CAST(0 AS DOUBLE) WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM q
+), o2 AS (
+  SELECT *, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, drawn, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM v
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(copies * size + greatest(0, least(size, round(target) - copies * source_size - before)) AS BIGINT) AS taken FROM r""",
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, round(rank, 9) AS pareto_rank,
+  CAST(copies * size + CASE WHEN rank IS NULL THEN 0 ELSE greatest(0, least(size, open)) END AS BIGINT) AS taken FROM o2""",
 }
