@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column_of, labelled_sample, map_arrow, small_batches
+from graphloom.llm.common import column_of, labelled_sample, map_arrow
 
 #: Labelled documents that a fit uses at most, pairs for each rejected document, pairs at most, ridge penalty, score at the threshold.
 SAMPLE, PAIRS_EACH, PAIRS, RIDGE, CUT = 8000, 20, 100_000, 1e-3, 0.7
+#: Bins of equal width in which the utilities of all documents are counted, and the utility beyond which all fall in the last one.
+BINS, WIDEST = 1 << 16, 64.0
 _SENTENCE, _MARKS, _BRACKETS = b".,;:'\"-", b"!?", b"()[]{}<>"
 
 
@@ -40,51 +42,82 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Ranker:
-    """Linear utility of standardised features, and the utility at which a document is accepted."""
+    """Linear utility of standardised features, the log odds of label 1 as ``slope`` * utility + ``base``, and the utility at which a document is accepted."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    threshold: float
+    slope: float = 0.0
+    base: float = 0.0
+    threshold: float = 0.0
+
+    def utility(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -10, 10) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, CUT at the threshold."""
-        u = np.clip((x - self.mean) / self.scale, -10, 10) @ self.weights - self.threshold
-        return 1 / (1 + np.exp(-np.clip(u + np.log(CUT / (1 - CUT)), -30, 30)))
+        return _logistic(self.utility(x) - self.threshold + np.log(CUT / (1 - CUT)))
 
 
-def fit_pairs(x: np.ndarray, label: np.ndarray, seed: int = 7) -> Ranker:
-    """Learns utilities from pairs of an accepted and a rejected document, and the threshold from the quantiles of the utilities.
+def _logistic(u: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(u, -30, 30)))
 
-    The threshold is the quantile of all utilities that separates the labels best; of equally good ones the middle.
-    Labels of one kind only: every document gets the score of that kind.
-    """
-    mean, scale = x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), x.std(axis=0) if len(x) else np.ones(x.shape[1])
-    scale[scale < 1e-9] = 1.0
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of least logistic loss of labels ``y`` plus a ridge penalty for each weight."""
     weights = np.zeros(x.shape[1])
-    if not len(good) or not len(bad):
-        return Ranker(mean, scale, weights, 2.0 if len(bad) else -2.0)
-    z = np.clip((x - mean) / scale, -10, 10)
-    draw = np.random.default_rng(seed)
-    losers = np.repeat(bad, max(1, min(PAIRS_EACH, PAIRS // len(bad))))
-    apart = z[draw.choice(good, len(losers))] - z[losers]
-    for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(apart @ weights, -30, 30)))
-        gradient = RIDGE * weights - apart.T @ p / len(apart)
-        hessian = (apart * (p * (1 - p))[:, None]).T @ apart / len(apart) + (RIDGE + 1e-6) * np.eye(len(weights))
+    for _ in range(steps):
+        p = _logistic(x @ weights)
+        gradient = ridge * weights + x.T @ (p - y) / len(x)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(ridge + 1e-6)
         step = np.linalg.solve(hessian, gradient)
         weights -= step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-4:
             break
-    u = z @ weights
-    order = np.argsort(u, kind="stable")
-    right = np.append(0, np.cumsum(label[order] == 0)) + np.append(0, np.cumsum(label[order][::-1] == 1))[::-1]
-    apart_at = np.append(True, np.append(np.diff(u[order]) > 1e-12, True))
-    best = np.flatnonzero((right == right[apart_at].max()) & apart_at)
-    at = best[len(best) // 2]
-    edge = np.concatenate([[u[order][0] - 1], u[order], [u[order][-1] + 1]])
-    return Ranker(mean, scale, weights, float((edge[at] + edge[at + 1]) / 2))
+    return weights
+
+
+def pairs_of(label: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the better and of the worse document of each preference pair: every rejected one loses to accepted ones drawn at random."""
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    if not len(good) or not len(bad):
+        return good[:0], bad[:0]
+    losers = np.repeat(bad, max(1, min(PAIRS_EACH, PAIRS // len(bad))))
+    return np.random.default_rng(seed).choice(good, len(losers)), losers
+
+
+def fit_pairs(x: np.ndarray, label: np.ndarray, seed: int = 7) -> Ranker:
+    """Learns utilities from pairs of an accepted and a rejected document, and the odds of the labels along them; the threshold is not set yet.
+
+    Labels of one kind only, or none: every document has utility 0, and odds of that kind, without labels of 1.
+    """
+    mean, scale = x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), x.std(axis=0) if len(x) else np.ones(x.shape[1])
+    scale[scale < 1e-9] = 1.0
+    won, lost = pairs_of(label, seed)
+    if not len(won):
+        return Ranker(mean, scale, np.zeros(x.shape[1]), 0.0, -30.0 if (label == 0).any() else 30.0)
+    z = np.clip((x - mean) / scale, -10, 10)
+    weights = _newton(z[won] - z[lost], np.ones(len(won)), np.full(x.shape[1], RIDGE), 25)
+    slope, base = _newton(np.stack([z @ weights, np.ones(len(z))], axis=1), label.astype(float), np.array([1e-4, 0.0]), 60)
+    return Ranker(mean, scale, weights, float(slope), float(base))
+
+
+def quantile_threshold(ranker: Ranker, counts: np.ndarray) -> tuple[float, float]:
+    """(level, threshold) from the numbers of documents by bin of utility.
+
+    The level is the share of all documents that the labels let expect to be 0, the mean of the odds' probabilities; the
+    threshold is the utility quantile of that level: the bound between bins below which the share of documents comes
+    nearest to it, the middle one where no document lies between several.
+    """
+    edges = np.linspace(-WIDEST, WIDEST, len(counts) + 1)
+    total = counts.sum()
+    if not total:
+        return 0.0, 0.0
+    level = float(_logistic(-(ranker.slope * (edges[1:] + edges[:-1]) / 2 + ranker.base)) @ counts / total)
+    below = np.concatenate([[0], np.cumsum(counts)])
+    far = np.abs(below - level * total)
+    best = np.flatnonzero(far == far.min())
+    return level, float(edges[best[len(best) // 2]])
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,22 +127,46 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """A ranker from (doc_id, text) and (doc_id, label); it uses at most ``sample`` labelled documents, those of least hash."""
-    small_batches(docs.sparkSession)
+    """A ranker from (doc_id, text) and (doc_id, label).
+
+    It learns from at most ``sample`` labelled documents, those of least hash; an id's largest label and least text count,
+    and labels other than 0 and 1, of a null id or of no document are left out. The threshold is the quantile of the
+    utilities of all rows of ``docs`` at the share of rejected documents that the labels let expect among them
+    (``quantile_threshold``). Null texts count as empty; without rows or labels everything is accepted. Very long texts
+    take time and memory in proportion; extra columns are not read.
+    """
     rows = map_arrow(labelled_sample(docs, labels, sample, "quality"), _featured, "doc_id long, label int, x array<double>")
-    found = rows.orderBy("doc_id").limit(2 * sample).collect()
+    found = sorted(rows.collect(), key=lambda r: r.doc_id)
     x = np.array([r.x for r in found]).reshape(len(found), len(features("")))
-    return fit_pairs(x, np.array([r.label for r in found], int))
+    ranker = fit_pairs(x, np.array([r.label for r in found], int))
+
+    def binned(texts: pa.Array) -> pa.Array:
+        u = ranker.utility(_matrix(texts))
+        return pa.array(np.clip((u + WIDEST) * (BINS / (2 * WIDEST)), 0, BINS - 1).astype(np.int32))
+
+    counts = np.zeros(BINS, np.int64)
+    for r in docs.select(column_of(binned, "int")(_text()).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.bin] = r.n
+    _, ranker.threshold = quantile_threshold(ranker, counts)
+    return ranker
+
+
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([features(t or "") for t in texts.to_pylist()]).reshape(len(texts), len(features("")))
 
 
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The rows of ``docs`` with columns score and accepted (score >= CUT) in place of ``text``; a null text counts as empty."""
-    small_batches(docs.sparkSession)
+    """The rows of ``docs`` with columns score and accepted (score >= CUT) added, in place of such that it has.
+
+    A null text counts as empty. Every row is scored by itself, so repeated rows have equal scores, ids may be null and
+    an empty table stays empty.
+    """
 
-    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for own in texts:
-            x = np.array([features(t or "") for t in own.to_pylist()])
-            yield pa.array(ranker.score(x) if len(x) else [], pa.float64())
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(ranker.score(_matrix(texts)), pa.float64())
 
-    out = docs.withColumn("score", column_of(scored, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumn("accepted", F.col("score") >= CUT)
+    return docs.withColumn("score", column_of(scored, "double")(_text())).withColumn("accepted", F.col("score") >= CUT)
