@@ -17,8 +17,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.postings = ids[order], np.asfortranarray(vectors[order])
-        self.high = vectors.max(axis=0, initial=0.0) if len(ids) else np.zeros(vectors.shape[1])
-        self.low = vectors.min(axis=0, initial=0.0) if len(ids) else np.zeros(vectors.shape[1])
+        self.high, self.low = vectors.max(axis=0, initial=0), vectors.min(axis=0, initial=0)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but those of id ``own``: highest score first, then smallest id.
@@ -29,10 +28,11 @@ class Shard:
         """
         most, least = np.maximum(query * self.high, query * self.low), np.minimum(query * self.high, query * self.low)
         order = np.argsort(least - most, kind="stable")
-        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # most that terms from here on add
-        spread = np.append(np.cumsum((most - least)[order][::-1])[::-1], 0.0)
+        none = np.zeros(1, most.dtype)
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], none)  # most that terms from here on add
+        spread = np.append(np.cumsum((most - least)[order][::-1])[::-1], none)
         base = least.sum()
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, np.int64), none[:0]
         for at in range(0, len(self.ids), STEP_ROWS):
             floor = best[-1] if len(best) == k else -np.inf
             if rest[0] < floor:
@@ -57,9 +57,9 @@ class Shard:
         return best_ids, best
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
     """Rows of numbers of equal width; missing components are 0."""
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), kind)
     flat = column.combine_chunks()
     flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
     sizes = flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -75,20 +75,26 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     Both inputs have (vec_id, v) with v an array of whole numbers, null nowhere; shorter arrays count as padded with 0.
     A query's own vec_id is no candidate. Rows are dealt by hash to shards and queries to blocks; every pair of shard
     and block is searched by itself, and the shards' results are merged. Queries repeated in full are answered once, candidates
-    that repeat count as often as they stand. Scores are exact while below 2**53.
+    that repeat count as often as they stand; an empty table gives an empty one. Scores are exact: they are summed as
+    doubles where none can reach 2**53, else as 64-bit integers, and vectors whose scores could pass these are refused.
     """
     queries = queries.select(F.col("vec_id").alias("query_id"), "v").distinct().withColumn("query_key", F.xxhash64("query_id", "v"))
-    seen = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    largest = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    seen = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(largest)).first()
     asked = queries.count()
     width = max(1, seen[1] or 1)
+    most = width * (seen[2] or 0.0) ** 2
+    if most >= 2.0**62:
+        raise ValueError("scores beyond 64-bit integers")
+    kind = np.float64 if most < 2.0**53 else np.int64
     shards, blocks = max(LEAST_SHARDS, -(-seen[0] // SHARD_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
     left = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("query_key", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def search(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        shard = Shard(rows["vec_id"].to_numpy().astype(np.int64), _matrix(rows["v"], width))
+        shard = Shard(rows["vec_id"].to_numpy().astype(np.int64), _matrix(rows["v"], width, kind))
         out = ([], [], [], [])
-        for key, own, query in zip(asks["query_key"].to_pylist(), asks["query_id"].to_pylist(), _matrix(asks["v"], width), strict=True):
+        for key, own, query in zip(asks["query_key"].to_pylist(), asks["query_id"].to_pylist(), _matrix(asks["v"], width, kind), strict=True):
             ids, scores = shard.top(query, own, k)
             for column, values in zip(out, ([key] * len(ids), [own] * len(ids), ids.tolist(), scores.astype(np.int64).tolist()), strict=True):
                 column += values
