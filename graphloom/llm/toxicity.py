@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column_of, labelled_sample, map_arrow, small_batches
+from graphloom.llm.common import column_of, labelled_sample, map_arrow
 
 #: Labelled documents that a fit uses at most, entries of the learned lexicon, folds of the cross-fit, words around a hit that are near it.
 SAMPLE, LEXICON, FOLDS, NEAR = 10_000, 3000, 4, 4
@@ -188,12 +188,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from (doc_id, text) and (doc_id, label); it uses at most ``sample`` labelled documents, those of least hash.
 
-    Lexicon entries are counted by fold, so that a training document's lexicon features come from the other folds, and
+    An id's largest label and least text count; labels other than 0 and 1, of a null id or of no document are left out.
+    Without labels of both kinds the model gives every text the share of toxic ones; null texts are empty, extra columns
+    are not read. Lexicon entries are counted by fold, so that a training document's lexicon features come from the other folds, and
     the margins that calibrate are those of trees that have not seen the document.
     """
-    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, sample, "toxic").select(F.col("doc_id"), "label", "text")
-    known = rows.select("doc_id", "label").orderBy("doc_id").limit(2 * sample).collect()
+    known = rows.select("doc_id", "label").collect()  # at most ``sample`` rows, one of each id
     fold = np.array([r.doc_id % FOLDS for r in known], int)
     label = np.array([r.label for r in known], int)
     per = [F.sum(((F.col("fold") == f) & (F.col("label") == v)).cast("int")).alias(f"n{v}{f}") for v in (0, 1) for f in range(FOLDS)]
@@ -216,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t, own[d % FOLDS]) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = map_arrow(rows, featured, "doc_id long, label int, x array<double>").orderBy("doc_id").limit(2 * sample).collect()
+    got = map_arrow(rows, featured, "doc_id long, label int, x array<double>").collect()
+    got.sort(key=lambda r: r.doc_id)
     x, y, f = np.array([r.x for r in got]).reshape(len(got), WIDTH), np.array([r.label for r in got], int), np.array([r.doc_id % FOLDS for r in got], int)
     margin = np.zeros(len(x))
     for k in range(FOLDS):
@@ -226,14 +228,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a column score (0 to 1) added; a null text counts as empty."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` with a column score (0 to 1) added, in place of one that it has.
 
-    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        learned = Lexicon(shared.value.entries)
-        for own in texts:
-            x = np.array([features(t or "", learned) for t in own.to_pylist()]).reshape(len(own), WIDTH)
-            yield pa.array(shared.value.score(x) if len(x) else [], pa.float64())
+    A null text counts as empty. Every row is scored by itself, so repeated rows have equal scores, ids may be null, very
+    long texts only take time, and an empty table stays empty.
+    """
+    return docs.withColumn("score", column_of(_Scorer(docs.sparkSession.sparkContext.broadcast(model)), "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+class _Scorer:
+    """Scores texts; a worker's lexicon remembers words from batch to batch."""
+
+    def __init__(self, shared):
+        self.shared, self.learned = shared, None
 
-    return docs.withColumn("score", column_of(scored, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        self.learned = self.learned or Lexicon(self.shared.value.entries)
+        x = np.array([features(t or "", self.learned) for t in texts.to_pylist()]).reshape(len(texts), WIDTH)
+        return pa.array(self.shared.value.score(x) if len(x) else [], pa.float64())

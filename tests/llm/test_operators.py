@@ -5,11 +5,13 @@ import io
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprints, language, license_scan, maxscore, mixing, near_dup, piece_bpe, quality, queries, toxicity, warc
@@ -199,6 +201,20 @@ def test_maxscore_against_brute_force(spark):
     assert maxscore.exact_top_k(empty, empty).collect() == []
 
 
+def test_maxscore_of_large_numbers_is_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.randint(-(1 << 29), 1 << 29) for _ in range(6)]) for i in range(60)] + [(60, [1 << 29] * 6), (61, [1 << 29] * 5 + [(1 << 29) - 1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in maxscore.exact_top_k(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 20, 40, 60):
+        want = sorted((-sum(a * b for a, b in zip(dict(rows)[q], v, strict=True)), i) for i, v in rows if i != q)[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    with pytest.raises(ValueError, match="64-bit"):
+        maxscore.exact_top_k(spark.createDataFrame([(1, [1 << 40])], "vec_id long, v array<long>"), vectors)
+
+
 def test_maxscore_skips_rows_and_stays_exact():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(size=(5000, 16)) * np.geomspace(1, 200, 16))
@@ -210,11 +226,11 @@ def test_maxscore_skips_rows_and_stays_exact():
         assert [(-x, i) for x, i in zip(scores, ids, strict=True)] == want
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big = "<p>é" + "x" * 1200
     rows = [(1, "http://a", big), (2, "http://b", big), (9, "http://c\r\nX: y", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (7, "u", "<i>" * 100_000), (9, "http://c", big)]
     rows += [(100 + i, "u", f"<html><body>page {i} of many " + "text " * 50) for i in range(40)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int")
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int").withColumns({"digest": F.lit("x"), "payload": F.lit("y"), "head": F.lit(1), "salt": F.lit(2)})
     manifest = warc.write_archives(pages, f"file://{tmp_path}/out")
     got = warc.read_archives(manifest, f"file://{tmp_path}/out").collect()
     key = lambda x: (x[0] or -1, x[1], str(x[2:]))
@@ -226,6 +242,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=key) == sorted(want, key=key)
     assert sum(r.records for r in manifest.collect()) == len(rows)
     assert list(tmp_path.glob("out/*.part")) == []
+    heads = [h for r in manifest.collect() for h, _ in warc.read_archive(open(r.path, "rb"))]
+    names = Counter(h["WARC-Record-ID"] for h in heads)
+    # rows that repeat url and payload under one page share a name, no others do
+    assert len(names) == len({(i, u or "", h) for i, u, h in rows}) and all(names[h["WARC-Refers-To"]] == 1 for h in heads if "WARC-Refers-To" in h)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    other = warc.write_archives(pages, f"file://{tmp_path}/dealt")
+    assert sorted(map(str, warc.read_archives(other, f"file://{tmp_path}/dealt").collect())) == sorted(map(str, got))
     empty = warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(empty, f"file://{tmp_path}/none").collect() == []
 
@@ -234,13 +257,18 @@ def test_warc_dictionary_leads_the_file(tmp_path):
     from pyarrow import fs
 
     dictionary = warc.build_dictionary([f"<html><body>page {i} with the same words".encode() * 3 for i in range(200)])
-    out = warc.ArchiveWriter(fs.LocalFileSystem(), f"{tmp_path}/a.zst", dictionary)
+    out = warc.ArchiveWriter(fs.LocalFileSystem(), f"{tmp_path}/a.zst", dictionary, "2024-01-01T00:00:00Z")
     for i in range(3):
         out.add(warc.record(i, "u", b"body", 4, hashlib.sha1(b"body").hexdigest(), None, "2024-01-01T00:00:00Z"))
     out.close()
     data = (tmp_path / "a.zst").read_bytes()
-    assert data[:4] == bytes.fromhex("5d2a4d18") and data.count(warc.ZSTD_MAGIC) == 4
-    assert [h["WARC-Record-ID"] for h, _ in warc.read_archive(io.BytesIO(data))] == [f"<urn:page:{i}>" for i in range(3)]
+    assert data[:4] == bytes.fromhex("5d2a4d18") and data.count(warc.ZSTD_MAGIC) == 5
+    names = [h["WARC-Record-ID"] for h, _ in warc.read_archive(io.BytesIO(data))]
+    assert [n.split(":")[2] for n in names] == ["0", "1", "2"]
+    size = int.from_bytes(data[4:8], "little")
+    plain = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])
+    first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(plain)).stream_reader(io.BytesIO(data[8 + size :])).read()
+    assert first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(b"nothing at all")))
 
@@ -296,6 +324,51 @@ def test_mix(spark, docs, none):
     assert mixing.mixed_rows(none, size).collect() == []
 
 
+def test_inclusion_and_rank_against_plain_python(docs):
+    got = mixing.pareto_mix(docs, queries.words_of("text")).collect()
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        rest = int(F_round(own[0].target)) - own[0].certain * own[0].source_size
+        sizes, sure = sorted((r["size"] for r in own if r["size"]), reverse=True), 0
+        while sure < len(sizes) and (rest - sum(sizes[:sure])) * sizes[sure] >= sum(x * x for x in sizes[sure:]):
+            sure += 1
+        open_, below = rest - sum(sizes[:sure]), sum(x * x for x in sizes[sure:])
+        for r in own:
+            if not r["size"]:
+                assert r.probability is None and r["rank"] is None and r.taken == 0
+                continue
+            p = 1.0 if sure and r["size"] >= sizes[sure - 1] else max(0.0, open_ * r["size"] / below)
+            u = (r.drawn + 0.5) / 16**13
+            assert r.probability == pytest.approx(p)
+            assert r["rank"] == (0 if p >= 1 else pytest.approx(u / (1 - u) / (p / (1 - p))) if p else None)
+        # least ranks first, whole but for the last
+        left = rest
+        for r in sorted((r for r in own if r["rank"] is not None), key=lambda r: (r["rank"], r.drawn, r.doc_id is None, r.doc_id or 0)):
+            assert r.taken - r.certain * r["size"] == min(r["size"], left)
+            left -= min(r["size"], left)
+
+
+def F_round(x):
+    return np.floor(x + 0.5)
+
+
+def test_documents_are_drawn_as_often_as_their_probability_says(spark):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.choice([2, 5, 9, 20, 40]), f"s{i % 2}") for i in range(160)]
+    docs, taken, p = frame(spark, rows).coalesce(1).cache(), Counter(), {}
+    seeds = 16
+    for seed in range(seeds):
+        for r in mixing.pareto_mix(docs, queries.words_of("text"), weights=(1, 6), share=(1, 2), seed=str(seed)).collect():
+            p[r.doc_id, r["size"]] = r.probability
+            taken[r.doc_id, r["size"]] += (r.taken - r.certain * r["size"]) / r["size"]
+    for size in (2, 5, 9, 20, 40):
+        for odd in (0, 1):
+            own = [k for k in p if k[1] == size and k[0] % 2 == odd]
+            want = sum(p[k] for k in own) / len(own)
+            assert abs(sum(taken[k] for k in own) / len(own) / seeds - want) < 0.09
+    assert len({round(v, 6) for v in p.values()}) > 4
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -315,7 +388,7 @@ def test_pieces_equal_the_library(docs, none, library):
 def test_pieces_of_odd_strings(library):
     rng = random.Random(9)
     alphabet = [*string.ascii_lowercase, " ", "  ", "\n", "▁", "é", "名", "😀", "==", "====", "aaa", "abab", "<s>", "<0x0A>", "\x00", "--"]
-    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 70))) for _ in range(1500)] + ["ab" * 2000, "=" * 3000, " " * 999, "xyz" * 700]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 70))) for _ in range(1500)] + ["ab" * 2000, "=" * 3000, " " * 999, "xyz" * 700, "".join(rng.choice("aeé名😀=") for _ in range(3000))]
     model = piece_bpe.PieceModel(queries.tokenizer_model())
     encoder = piece_bpe.Encoder(model)
     for _ in range(2):
@@ -325,6 +398,20 @@ def test_pieces_of_odd_strings(library):
         assert model.decode(np.array(ids)) == library.decode(ids)
 
 
+def test_pieces_of_long_words(library, monkeypatch):
+    encoder = piece_bpe.Encoder(piece_bpe.PieceModel(queries.tokenizer_model()))
+    rng = random.Random(2)
+    long = ["th" * 500_000, "the" * 100_000, "".join(rng.choice(string.ascii_lowercase) for _ in range(60_000)), "".join(rng.choice("ACGT") for _ in range(60_000))]
+    for t, ids in zip(long, encoder.encode(long), strict=True):
+        assert ids.tolist() == library.encode(t)
+    # the heap gives what the rounds give
+    words = ["".join(rng.choice([*string.ascii_lowercase, "the", "ing", "é", "😀"]) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    rounds = [ids.tolist() for ids in encoder.encode(words)]
+    monkeypatch.setattr(piece_bpe, "LONG_WORD", 2)
+    encoder = piece_bpe.Encoder(encoder.model)
+    assert [ids.tolist() for ids in encoder.encode(words)] == rounds
+
+
 def labelled(spark):
     rng = random.Random(3)
     rows, labels = [], []
