@@ -70,39 +70,49 @@ def at_snapshot(rows: DataFrame, label: NodeLabel, snapshot: tuple[str, int, tup
     return rows.withColumn("@n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c("@n") == 1).drop("@n")
 
 
-def as_node(rows: DataFrame, label: NodeLabel, prefix: str) -> tuple[DataFrame, Entity]:
+def as_node(rows: DataFrame, label: NodeLabel, prefix: str, props: tuple[str, ...] | None = None) -> tuple[DataFrame, Entity]:
     own = types_of(rows)
-    entity = Entity("node", prefix, (label.name,), tuple(rows.columns))
-    named = [c(p).alias(f"{prefix}:{p}") for p in rows.columns]
-    types = {f"{prefix}@id": own[label.id_column], f"{prefix}@label": T.StringType()} | {f"{prefix}:{p}": own[p] for p in rows.columns}
-    return typed(rows.select(c(label.id_column).alias(f"{prefix}@id"), F.lit(label.name).alias(f"{prefix}@label"), *named), types), entity
+    props = tuple(own) if props is None else props
+    named = [c(p).alias(f"{prefix}:{p}") for p in props]
+    types = {f"{prefix}@id": own[label.id_column], f"{prefix}@label": T.StringType()} | {f"{prefix}:{p}": own[p] for p in props}
+    frame = rows.select(c(label.id_column).alias(f"{prefix}@id"), F.lit(label.name).alias(f"{prefix}@label"), *named)
+    return typed(frame, types), Entity("node", prefix, (label.name,), props)
 
 
-def node_frame(ctx: Context, name: str, prefix: str) -> tuple[DataFrame, Entity]:
-    """A label's rows with prefixed columns. The catalog remembers them, as the same rows and prefix come again with each query."""
+def node_frame(ctx: Context, name: str, prefix: str, read: set[str] | None) -> tuple[DataFrame, Entity]:
+    """A label's rows with prefixed columns: those that are read (None: all) and those by which edges join.
+
+    The catalog remembers them, as the same rows and prefix come again with each query.
+    """
     label = ctx.catalog.label(name)
     ctx.external |= label.virtual
     rows = label.frame()
+    if read is not None:
+        read = read | ctx.catalog.key_columns((name,))
+    props = tuple(x for x in types_of(rows) if read is None or x in read)
     if ctx.snapshot and label.virtual:
-        return as_node(at_snapshot(rows, label, ctx.snapshot), label, prefix)
-    return ctx.catalog.remembered(rows, ("node", label, prefix), lambda: as_node(rows, label, prefix))
+        return as_node(at_snapshot(rows, label, ctx.snapshot), label, prefix, props)
+    return ctx.catalog.remembered(rows, ("node", label, prefix, props), lambda: as_node(rows, label, prefix, props))
 
 
-def edge_frame(ctx: Context, edge: EdgeType, prefix: str) -> tuple[DataFrame, Entity]:
-    """An edge table's rows with prefixed columns."""
+def edge_frame(ctx: Context, edge: EdgeType, prefix: str, read: set[str] | None, with_id: bool) -> tuple[DataFrame, Entity]:
+    """An edge table's rows with prefixed columns: those that are read (None: all), and an id if edges are told apart."""
     rows = edge.frame()
-    return ctx.catalog.remembered(rows, ("edge", edge, prefix), lambda: _edge_frame(edge, rows, prefix))
+    props = tuple(x for x in types_of(rows) if x not in (edge.start, edge.end) and (read is None or x in read))
+    return ctx.catalog.remembered(rows, ("edge", edge, prefix, props, with_id), lambda: _edge_frame(edge, rows, prefix, props, with_id))
 
 
-def _edge_frame(edge: EdgeType, rows: DataFrame, prefix: str) -> tuple[DataFrame, Entity]:
+def _edge_frame(edge: EdgeType, rows: DataFrame, prefix: str, props: tuple[str, ...], with_id: bool) -> tuple[DataFrame, Entity]:
     own = types_of(rows)
-    props = tuple(x for x in rows.columns if x not in (edge.start, edge.end))
-    # Without an id column, rows that are equal throughout are one edge: its id is the row itself, so that no two edges share one.
-    identity = c(edge.id_column) if edge.id_column else F.struct(*[c(x) for x in rows.columns])
-    kind = own[edge.id_column] if edge.id_column else T.StructType([T.StructField(x, own[x]) for x in rows.columns])
-    metas = [identity.alias(f"{prefix}@id"), F.lit(edge.name).alias(f"{prefix}@label"), c(edge.start).alias(f"{prefix}@start"), c(edge.end).alias(f"{prefix}@end")]
-    types = {f"{prefix}@id": kind, f"{prefix}@label": T.StringType(), f"{prefix}@start": own[edge.start], f"{prefix}@end": own[edge.end]} | {f"{prefix}:{p}": own[p] for p in props}
-    return typed(rows.select(*metas, *[c(p).alias(f"{prefix}:{p}") for p in props]), types), Entity("edge", prefix, (edge.name,), props)
+    metas = {"label": (F.lit(edge.name), T.StringType()), "start": (c(edge.start), own[edge.start]), "end": (c(edge.end), own[edge.end])}
+    if with_id and edge.id_column:
+        metas["id"] = c(edge.id_column), own[edge.id_column]
+    elif with_id:
+        # Without an id column, rows that are equal throughout are one edge: its id is the row itself, so that no two edges share one.
+        metas["id"] = F.struct(*[c(x) for x in own]), T.StructType([T.StructField(x, t) for x, t in own.items()])
+    types = {f"{prefix}@{k}": t for k, (_, t) in metas.items()} | {f"{prefix}:{p}": own[p] for p in props}
+    frame = rows.select(*[col.alias(f"{prefix}@{k}") for k, (col, _) in metas.items()], *[c(p).alias(f"{prefix}:{p}") for p in props])
+    return typed(frame, types), Entity("edge", prefix, (edge.name,), props)
 
 
 def keys_equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:

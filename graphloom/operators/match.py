@@ -35,7 +35,7 @@ def _of_labels(ctx: Context, frame: DataFrame, entity: Entity, labels: tuple[str
     for other in labels:
         if other not in entity.labels:
             prefix = ctx.prefix()
-            ids = node_frame(ctx, other, prefix)[0]
+            ids = node_frame(ctx, other, prefix, set())[0]
             frame = typed(frame.join(ids, c(f"{entity.prefix}@id") == c(f"{prefix}@id"), "left_semi"), types_of(frame))
     return frame
 
@@ -47,10 +47,18 @@ def _scan(ctx: Context, node: A.Node, whole: bool) -> tuple[DataFrame, Entity]:
         request = _request(ctx, label, node, whole, "", ())
         frame, entity = as_node(at_snapshot(label.rows.search(ctx.spark, request), label, ctx.snapshot), label, ctx.prefix())
     else:
-        frame, entity = node_frame(ctx, node.labels[0], ctx.prefix())
+        frame, entity = node_frame(ctx, node.labels[0], ctx.prefix(), _read_of(ctx, node, whole))
     return _filtered(ctx, _of_labels(ctx, frame, entity, node.labels), entity, node.props), entity
 
 
+def _read_of(ctx: Context, part: A.Node | A.Rel, whole: bool) -> set[str] | None:
+    """The properties of a node or edge that the query reads; None for all."""
+    if whole or ctx.needs is None:
+        return None
+    read = ctx.needs.get(part.var, set()) if part.var else set()
+    return None if read is None else read | {k for k, _ in bound_props(ctx, part.props)}
+
+
 def _lookup(ctx: Context, label: str) -> LookupSource | None:
     rows = ctx.catalog.labels[label].rows if label in ctx.catalog.labels else None
     return rows if isinstance(rows, LookupSource) else None
@@ -72,11 +80,7 @@ def _told(ctx: Context, label: NodeLabel, node: A.Node) -> tuple[tuple[str, str,
 def _request(ctx: Context, label: NodeLabel, node: A.Node, whole: bool, operator: str, output: tuple[str, ...], keys: tuple[str, ...] = ()) -> Request:
     """What a lookup label is asked for, beside keys. ``output``: the columns that stand for all of them where a node is read as a whole."""
     filters = _told(ctx, label, node)
-    read: set[str] | None = set()
-    if whole or ctx.needs is None:
-        read = None
-    elif node.var:
-        read = ctx.needs.get(node.var, set())
+    read = _read_of(ctx, node, whole)
     if read is not None and KEYS in read:
         read = None
     if read is None and output:
@@ -122,7 +126,7 @@ class _Hop:
         return self.frame if self.left.labels == (label,) else typed(self.frame.where(self.left.meta("label") == label), types_of(self.frame))
 
     def _to(self, label: str) -> tuple[DataFrame, Entity]:
-        frame, node = node_frame(self.ctx, label, self.node_prefix)
+        frame, node = node_frame(self.ctx, label, self.node_prefix, _read_of(self.ctx, self.right, self.whole))
         return _filtered(self.ctx, _of_labels(self.ctx, frame, node, self.right.labels), node, self.right.props), node
 
     def _fits(self, left: str, right: str) -> bool:
@@ -146,7 +150,7 @@ class _Hop:
             out = typed(left.join(right, same(f"{owner.prefix}:{edge.key}", f"{other.prefix}@id")), types)
             out, own = self._edge_of(out, edge.name, owner, start, end)
         else:
-            rows, own = edge_frame(self.ctx, edge, self.edge_prefix)
+            rows, own = edge_frame(self.ctx, edge, self.edge_prefix, _read_of(self.ctx, self.rel, self.whole), self.with_edge)
             rows = _filtered(self.ctx, rows, own, self.rel.props)
             types |= types_of(rows)
             near, far = ("end", "start") if into else ("start", "end")
