@@ -142,7 +142,7 @@ class GraphEngine:
         if part.returns is None:
             return shown(scope, list(scope.vars), by_label)
         ctx.needs = needs[-1]
-        scope, names = project(ctx, scope, part.returns)
+        scope, names = project(ctx, scope, part.returns, final=True)
         return shown(scope, names, by_label)
 
 

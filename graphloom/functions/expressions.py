@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -21,14 +23,29 @@ _columns: dict[str, Column] = {}
 _columns_of: list[SparkContext | None] = [None]
 
 
-def c(name: str) -> Column:
-    """The column of a name. Columns are remembered as long as the context lives, since making one is a call to the JVM."""
+def _remembered(key: str, make: Callable[[], Column]) -> Column:
+    """Columns are remembered as long as the context lives, since making one is some calls to the JVM."""
     if _columns_of[0] is not SparkContext._active_spark_context or len(_columns) > 10_000:
         _columns.clear()
         _columns_of[0] = SparkContext._active_spark_context
-    if name not in _columns:
-        _columns[name] = F.col(f"`{name}`")
-    return _columns[name]
+    if key not in _columns:
+        _columns[key] = make()
+    return _columns[key]
+
+
+def c(name: str) -> Column:
+    """The column of a name."""
+    return _remembered(name, lambda: F.col(f"`{name}`"))
+
+
+def null_of(kind: T.DataType) -> Column:
+    """Null of a type."""
+    return _remembered(f"null {kind.simpleString()}", lambda: F.lit(None).cast(kind))
+
+
+def text(value: str) -> Column:
+    """A text that queries have again and again, such as the name of a label."""
+    return _remembered(f"text {value}", lambda: F.lit(value))
 
 
 def types_of(frame: DataFrame) -> dict[str, T.DataType]:
@@ -146,6 +163,9 @@ def _never(*cols: Column) -> Column:
     return F.when(reduce(or_, [x.isNull() for x in cols]), F.lit(None).cast("boolean")).otherwise(F.lit(False))
 
 
+_COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
 def _as_time(col: Column, kind: str) -> Column:
     return F.timestamp_millis(col.cast("long")) if kind == "number" else F.try_to_timestamp(col) if kind == "text" else col
 
@@ -160,7 +180,7 @@ def compare(op: str, a: tuple[Column, T.DataType], b: tuple[Column, T.DataType])
         x, y = _as_time(x, kx), _as_time(y, ky)
     elif kx != ky or (kx == "other" and tx != ty):
         return _never(x, y) if op == "=" else ~_never(x, y) if op == "<>" else F.lit(None).cast("boolean")
-    return {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    return _COMPARE[op](x, y)
 
 
 class Compiler:
@@ -177,7 +197,7 @@ class Compiler:
         col, t = self(e)
         if kind_of(t) not in ("truth", "none"):
             raise SyntaxRejected("A condition must be true or false")
-        return col.cast("boolean")
+        return col if kind_of(t) == "truth" else col.cast("boolean")
 
     def value(self, e: A.Expr) -> Any:
         """The value of an expression that refers to no row; raises for others."""

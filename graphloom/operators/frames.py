@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from graphloom import errors
 from graphloom.errors import GraphQueryError
-from graphloom.functions.expressions import Entity, c, kind_of, typed, types_of
+from graphloom.functions.expressions import Entity, c, kind_of, null_of, typed, types_of
 from graphloom.plans import ast as A
 from graphloom.plans.usage import KEYS
 from graphloom.sources.catalog import EdgeType, GraphCatalog, NodeLabel
@@ -165,7 +165,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
     for frame in frames:
         own = types_of(frame)
         same = list(own) == list(types) and all(own[n] == t for n, t in types.items())
-        out.append(frame if same else frame.select(*[(as_type(c(n), own[n], t) if n in own else F.lit(None).cast(t)).alias(n) for n, t in types.items()]))
+        out.append(frame if same else frame.select(*[c(n) if own.get(n) == t else (as_type(c(n), own[n], t) if n in own else null_of(t)).alias(n) for n, t in types.items()]))
     return typed(reduce(DataFrame.union, out), types)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from graphloom import errors
 from graphloom.errors import GraphQueryError, SyntaxRejected
-from graphloom.functions.expressions import Compiler, Entity, PathOf, Scope, c, typed, types_of
+from graphloom.functions.expressions import Compiler, Entity, PathOf, Scope, c, text, typed, types_of
 from graphloom.operators.frames import Context, as_node, at_snapshot, bound_props, edge_frame, keys_equal, merged, node_frame, union
 from graphloom.plans import ast as A
 from graphloom.plans.usage import KEYS, conditions
@@ -167,7 +167,7 @@ class _Hop:
             return out, own
         types = types_of(out)
         pair = F.concat_ws("->", start.meta("id").cast("string"), end.meta("id").cast("string"))
-        metas = {"id": owner.meta("id") if owner else pair, "label": F.lit(name), "start": start.meta("id"), "end": end.meta("id")}
+        metas = {"id": owner.meta("id") if owner else pair, "label": text(name), "start": start.meta("id"), "end": end.meta("id")}
         kinds = {"id": types[f"{owner.prefix}@id"] if owner else T.StringType(), "label": T.StringType(), "start": types[f"{start.prefix}@id"], "end": types[f"{end.prefix}@id"]}
         more = typed(out.withColumns({f"{own.prefix}@{k}": v for k, v in metas.items()}), types | {f"{own.prefix}@{k}": v for k, v in kinds.items()})
         return _filtered(self.ctx, more, own, self.rel.props), own

@@ -122,8 +122,8 @@ def limit_of(ctx: Context, e: A.Expr) -> int:
     return value
 
 
-def project(ctx: Context, scope: Scope | None, p: A.Projection) -> tuple[Scope, list[str]]:
-    """The scope after a WITH or RETURN, and its names in order."""
+def project(ctx: Context, scope: Scope | None, p: A.Projection, final: bool = False) -> tuple[Scope, list[str]]:
+    """The scope after a WITH or RETURN, and its names in order. ``final``: values get the names that they are shown by."""
     if scope is None:
         raise SyntaxRejected("A query begins with MATCH")
     items = [A.Item(A.Var(v), v) for v in scope.vars] if p.star else []
@@ -141,7 +141,8 @@ def project(ctx: Context, scope: Scope | None, p: A.Projection) -> tuple[Scope,
         elif isinstance(own, PathOf):
             out[item.name] = own
         else:
-            name = f"{ctx.prefix()}@value"
+            alone = "`" not in item.name and sum(i.name.lower() == item.name.lower() for i in items) == 1
+            name = item.name if final and alone else f"{ctx.prefix()}@value"
             col, kind = compile_(item.expr)
             kinds[name] = T.StringType() if isinstance(kind, T.NullType) else kind
             columns[name] = col.cast("string") if isinstance(kind, T.NullType) else col
@@ -209,5 +210,7 @@ def shown(scope: Scope, names: list[str], by_label: dict[str, tuple[str, ...]])
         elif isinstance(own, PathOf):
             columns.append(path_column(own, by_label, types).alias(name))
         else:
-            columns.append(c(own.column).alias(name))
+            columns.append(c(own.column) if own.column == name else c(own.column).alias(name))
+    if list(types) == names and all(kinds[n] == "value" and scope.vars[n].column == n for n in names):
+        return scope.frame, kinds
     return scope.frame.select(*columns), kinds
