@@ -96,6 +96,18 @@ QUERIES = {
     )
 }
 
+
+
+def _template_rows() -> str:
+    """The word 3-grams of the notice templates as rows (template, place, a, b, c)."""
+    out = []
+    for n, (_, text) in enumerate(license_scan.TEMPLATES):
+        words = text.split()
+        out += [f"({n}, {i}, '{words[i]}', '{words[i + 1]}', '{words[i + 2]}')" for i in range(len(words) - 2)]
+    return ", ".join(out)
+
+
+_ABOUT = ", ".join(f"({n}, '{label}', {len(text.split())})" for n, (label, text) in enumerate(license_scan.TEMPLATES))
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -136,6 +148,41 @@ WITH p AS (
 r AS (SELECT *, coalesce(payload_bytes >= 1000 AND page_id < head, false) AS again FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN head END AS refers_to FROM r""",
+    "op6_license_diagonals": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS pos FROM d),
+g AS (
+  SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM (
+    SELECT doc_id, pos, unnest(list_filter([
+      CASE WHEN a = 'gnu' AND b = 'general' AND c = 'public' AND e = 'license' THEN 'gpl' END, CASE WHEN a = 'apache' AND b = 'license' THEN 'apache' END,
+      CASE WHEN a = 'cc' AND b = 'by' THEN 'cc-by' END, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' END], lambda x: x IS NOT NULL)) AS label FROM g
+  ) GROUP BY doc_id
+), m(template, place, a, b, c) AS (VALUES {_template_rows()}),
+about AS (
+  SELECT v.*, grams FROM (VALUES {_ABOUT}) v(template, label, words) JOIN (SELECT template, count(DISTINCT (a, b, c)) AS grams FROM m GROUP BY 1) USING (template)
+), votes AS (
+  SELECT DISTINCT doc_id, template, pos, place, pos - place AS diagonal, (a, b, c) AS gram FROM g JOIN m USING (a, b, c)
+), diagonals AS (
+  SELECT doc_id, template, diagonal, min(pos) AS lo, max(pos) AS hi FROM votes GROUP BY ALL
+), parted AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.SLACK} THEN 0 ELSE 1 END AS fresh FROM diagonals
+), merged AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM parted
+), spans AS (
+  SELECT doc_id, template, span, min(lo) AS first, max(hi) + {license_scan.GRAM - 1} AS last, count(DISTINCT gram) AS hits
+  FROM votes JOIN merged USING (doc_id, template, diagonal) GROUP BY ALL
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(hits AS DOUBLE) / CAST(grams AS DOUBLE)) AS best FROM spans JOIN about USING (template)
+  WHERE CAST(hits AS DOUBLE) / CAST(grams AS DOUBLE) >= {license_scan.COVERAGE} AND last - first + 1 <= 2 * words GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(best, CAST(0 AS DOUBLE)) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op9_pareto_mix": f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
