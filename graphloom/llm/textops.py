@@ -86,15 +86,21 @@ class Words:
         after &= ~fresh[1:]
         self.start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after)
-        power, inverse = _power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        own = (total[end + 1] - total[self.start]) * inverse[self.start]
-        self.hash = mix64(own ^ (end - self.start + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
+        power, self._inverse = _power_tables(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, _U)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=self._total[1:])
+        self.length = end - self.start + 1
+        self.hash = self.beginnings(slice(None), self.length)
         self.text = np.searchsorted(offsets, self.start, "right") - 1
         self.count = np.bincount(self.text, minlength=texts)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
+    def beginnings(self, which: np.ndarray | slice, length: np.ndarray | int) -> np.ndarray:
+        """The hashes of the first ``length`` bytes of some words that have so many; they are those of words of these bytes alone."""
+        start = self.start[which]
+        own = (self._total[start + length] - self._total[start]) * self._inverse[start]
+        return mix64(own ^ np.asarray(length, np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
+
     def grams(self, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text number) of every run of k words, in order. With ``short``, a text of 1 to k-1 words gives its whole sequence as one run."""
         n = len(self.hash)
@@ -117,6 +123,13 @@ class Words:
         return (own * _COEF[: len(own)]).sum(dtype=_U) ^ _U(len(own) * 0x9FB21C651E98DF25 & (1 << 64) - 1)
 
 
+def count_by_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of true values in each text's part of a mask over all bytes."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def distinct_by_text(hashes: np.ndarray, text: np.ndarray, texts: int) -> list[np.ndarray]:
     """For each text its distinct hashes, ascending. ``text`` must be ascending."""
     bounds = np.searchsorted(text, np.arange(texts + 1))
@@ -136,7 +149,7 @@ def lists(parts: list[np.ndarray], kind: str = "int64") -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(flat).view(kind)))
 
 
-def word_hashes(text: str, word_bytes: np.ndarray) -> np.ndarray:
+def word_hashes(text: str | bytes, word_bytes: np.ndarray) -> np.ndarray:
     """The hashes of one text's words, as Words gives them."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
     return Words(data, np.array([0, len(data)]), word_bytes).hash

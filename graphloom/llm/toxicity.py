@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import textops as X
 from graphloom.llm.common import column_of, labelled_sample, map_arrow
 
 #: Labelled documents that a fit uses at most, entries of the learned lexicon, folds of the cross-fit, words around a hit that are near it.
@@ -22,64 +23,134 @@ STEMS = (3, 4, 5, 6, 7)
 INSULTS = "idiot moron stupid dumb trash garbage scum loser pathetic worthless disgusting clown jerk fool imbecile bastard vermin filth".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted tus vosotros".split()
 
-_WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"\b[^\W\d_]+[0-9@$*!+.\-]+[^\W\d_][^\W_]*")
-_LEET = str.maketrans("013457@$!+", "oieastasit", "*.-")
+#: Bytes of a word: ASCII letters, lower-cased, and all beyond ASCII. Bytes that may stand for letters or between the letters of a disguised word.
+LETTERS = X.byte_mask([(65, 90), (97, 122), (128, 255)])
+DISGUISE = X.byte_mask([(48, 57), (33, 33), (36, 36), (42, 43), (45, 46), (64, 64)])
+_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LEET = bytes.maketrans(b"013457@$!+", b"oieastasit")
+_CLASSES = {"upper": X.byte_mask([(65, 90)]), "letter": X.byte_mask([(65, 90), (97, 122)]), "!": X.byte_mask([(33, 33)]), "?": X.byte_mask([(63, 63)]), "symbol": X.byte_mask([(35, 38), (42, 42), (64, 64)])}
 
 
-class Lexicon(dict):
-    """Weight of a word: the largest of the entries that it is or begins with; 0 if none. Remembers the words that it has seen."""
+def words_of(text: str) -> list[bytes]:
+    return _WORD.findall(text.encode("utf-8", "replace").translate(_LOWER))
 
-    def __init__(self, entries: dict[str, float]):
-        self.entries = entries
-
-    def __missing__(self, word: str) -> float:
-        get = self.entries.get
-        out = max(get("=" + word, 0.0), *(get(word[:n], 0.0) if len(word) >= n else 0.0 for n in STEMS))
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out
-        return out
 
-    def __reduce__(self):
-        return Lexicon, (self.entries,)
+def stems(word: bytes) -> set[str]:
+    """The entries that a word may stand under: itself after "=", and its beginnings. They are bytes shown as Latin-1."""
+    shown = word.decode("latin-1")
+    return {"=" + shown, *(shown[:n] for n in STEMS if len(shown) >= n)}
+
 
+class Table:
+    """Weights by 64-bit hash."""
 
-def stems(word: str) -> set[str]:
-    return {"=" + word, *(word[:n] for n in STEMS if len(word) >= n)}
+    def __init__(self, weights: dict[bytes, float]):
+        hashes = np.array([X.word_hashes(w, LETTERS)[0] for w in weights], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.weights = hashes[order], np.array(list(weights.values()), float)[order]
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The weight of each, 0 if it has none."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.weights[at], 0.0)
 
-_SEED = Lexicon({"=" + w: 1.0 for w in INSULTS})
-_SECOND = frozenset(SECOND_PERSON)
 
+class Lexicon:
+    """Weight of a word: the largest of the entries that it is or begins with; 0 if none."""
 
-def features(text: str, learned: Lexicon) -> list[float]:
-    """Lexicon densities, nearness of second-person words, capitals, punctuation, repetition and disguise rates; all 0 for an empty text."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    count = np.bincount(data, minlength=256)
-    n = max(1, len(data))
-    letters = count[65:91].sum() + count[97:123].sum()
-    words = _WORD.findall(text.lower())
-    w = max(1, len(words))
-    own = list(map(learned.__getitem__, words))
-    at = [i for i, x in enumerate(own) if x > 0]
-    seed = sum(map(_SEED.__getitem__, words))
-    second = sum(map(_SECOND.__contains__, words))
-    near = sum(any(x in _SECOND for x in words[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
-    distinct = {words[i] for i in at}
-    hidden = [m.translate(_LEET) for m in _DISGUISED.findall(text.lower())]
-    hidden_hits = sum(learned[h] > 0 or _SEED[h] > 0 for h in hidden)
-    top = max((own[i] for i in at), default=0.0)
-    same = int(((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] > 64)).sum()) if len(data) > 2 else 0
-    return [
-        seed / w, np.log1p(seed), len(at) / w, np.log1p(len(at)), len(distinct), np.log1p(len(distinct)) / np.log1p(len(at)) if at else 0.0,
-        sum(own) / w, np.log1p(sum(own)), top, sum(sorted((learned[d] for d in distinct), reverse=True)[:3]),
-        second / w, near / w, near / max(1, len(at)), count[65:91].sum() / max(1, letters), count[33] / n, count[63] / n,
-        (count[35:39].sum() + count[42] + count[64]) / n, same / n, len(hidden) / w, hidden_hits, np.log1p(len(words)),
-    ]
+    def __init__(self, entries: dict[str, float]):
+        named = [(k.encode("latin-1"), v) for k, v in entries.items()]
+        self.whole = Table({k[1:]: v for k, v in named if k[:1] == b"="})
+        self.begun = {n: Table({k: v for k, v in named if k[:1] != b"=" and len(k) == n}) for n in STEMS}
+
+    def weights(self, words: X.Words, which: np.ndarray) -> np.ndarray:
+        """The weights of some words."""
+        out, length = self.whole(words.hash[which]), words.length[which]
+        for n, table in self.begun.items():
+            long = np.flatnonzero(length >= n)
+            if len(table.hashes) and len(long):
+                out[long] = np.maximum(out[long], table(words.beginnings(which[long], n)))
+        return out
 
 
-WIDTH = len(features("", Lexicon({})))
+_SEED, _SECOND = Table({w.encode(): 1.0 for w in INSULTS}), Table({w.encode(): 1.0 for w in SECOND_PERSON})
+
+
+def features(texts: pa.Array, learned: Lexicon) -> np.ndarray:
+    """Lexicon densities, nearness of second-person words, capitals, punctuation, repetition and disguise rates, a row for each text; all 0 for an empty or null text."""
+    return np.concatenate([np.zeros((0, WIDTH)), *(_chunk(data, offsets, learned) for _, _, data, offsets in X.string_chunks(texts))])
+
+
+def _chunk(data: np.ndarray, offsets: np.ndarray, learned: Lexicon) -> np.ndarray:
+    texts, words = len(offsets) - 1, X.Words(data, offsets, LETTERS)
+    _, some, same = np.unique(words.hash, return_index=True, return_inverse=True)
+    weight, insult, person = learned.weights(words, some)[same], _SEED(words.hash[some])[same], _SECOND(words.hash[some])[same]
+
+    def by_text(of: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(of, values, texts).astype(float)
+
+    n, w = np.maximum(1, np.diff(offsets)), np.maximum(1, words.count)
+    count = {k: X.count_by_text(mask[data], offsets) for k, mask in _CLASSES.items()}
+    triple = np.zeros(len(data), bool)
+    if len(data) > 2:
+        triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] > 64)
+        for ahead in (0, 1):  # not over the beginning of a text
+            triple[np.minimum(offsets[:-1] + ahead, len(data) - 1)] = False
+    hits = np.flatnonzero(weight > 0)
+    of, hit_weight = words.text[hits], weight[hits]
+    many = by_text(of)
+    # second-person words up to NEAR words away in the same text
+    persons = np.concatenate([[0], np.cumsum(person > 0)])
+    low, high = np.maximum(words.first[of], hits - NEAR), np.minimum(words.first[of + 1], hits + NEAR + 1)
+    near = by_text(of[persons[high] > persons[low]])
+    top = np.zeros(texts)
+    np.maximum.at(top, of, hit_weight)
+    # each hit word once a text, heaviest first
+    order = np.lexsort((words.hash[hits], -hit_weight, of))
+    kinds = np.stack([of[order].astype(np.uint64), words.hash[hits][order]])
+    once = order[np.concatenate([[True], (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)])[: len(order)]]
+    distinct = by_text(of[once])
+    place = np.arange(len(once)) - np.searchsorted(of[once], of[once])
+    three = by_text(of[once][place < 3], hit_weight[once][place < 3])
+    hidden, hidden_hits = _disguised(data, words, learned, texts)
+    total = by_text(of, hit_weight)
+    insults = by_text(words.text, insult)
+    share = np.divide(np.log1p(distinct), np.log1p(many), out=np.zeros(texts), where=many > 0)
+    return np.stack([
+        insults / w, np.log1p(insults), many / w, np.log1p(many), distinct, share,
+        total / w, np.log1p(total), top, three,
+        by_text(words.text, person) / w, near / w, near / np.maximum(1, many), count["upper"] / np.maximum(1, count["letter"]), count["!"] / n, count["?"] / n,
+        count["symbol"] / n, X.count_by_text(triple, offsets) / n, hidden / w, hidden_hits, np.log1p(words.count),
+    ], axis=1)
+
+
+def _disguised(data: np.ndarray, words: X.Words, learned: Lexicon, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the number of runs of words that only digits and signs part, as in st*p1d, and of those that are in a lexicon when read as letters."""
+    hidden, found = np.zeros(texts), np.zeros(texts)
+    end = words.start + words.length
+    plain = np.concatenate([[0], np.cumsum(~DISGUISE[data])])
+    linked = np.flatnonzero((words.text[1:] == words.text[:-1]) & (plain[words.start[1:]] == plain[end[:-1]]))
+    if not len(linked):
+        return hidden, found
+    first = linked[np.concatenate([[True], linked[1:] != linked[:-1] + 1])]
+    last = linked[np.concatenate([linked[1:] != linked[:-1] + 1, [True]])] + 1
+    np.add.at(hidden, words.text[first], 1)
+    raw = data.tobytes()
+    read = [raw[a:b].translate(_LOWER).translate(_LEET, b"*.-") for a, b in zip(words.start[first].tolist(), end[last].tolist(), strict=True)]
+    joined = X.Words(np.frombuffer(b"".join(read), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in read])]), LETTERS)
+    # what is still not one word is none
+    one = np.flatnonzero(joined.count == 1)
+    one = one[joined.length[joined.first[one]] == np.array([len(r) for r in read])[one]]
+    at = joined.first[one]
+    hit = (learned.weights(joined, at) > 0) | (_SEED(joined.hash[at]) > 0)
+    np.add.at(found, words.text[first[one[hit]]], 1)
+    return hidden, found
+
+
+WIDTH = 21
 
 
 @dataclass
@@ -180,7 +251,7 @@ def weigh(toxic: dict[str, float], clean: dict[str, float], toxics: float, clean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, label, text in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = sorted(set().union(*map(stems, set(_WORD.findall(text.lower())))))
+            own = sorted(set().union(*map(stems, set(words_of(text)))))
             k = len(own)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([doc % FOLDS] * k, pa.int32()), pa.array([label] * k, pa.int32())], names=["stem", "fold", "label"])
 
@@ -214,8 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Lexicon(e) for e in lexicons]
         for batch in batches:
-            x = [features(t, own[d % FOLDS]) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            ids = batch.column("doc_id").to_numpy()
+            x = np.zeros((len(ids), WIDTH))
+            for f in set((ids % FOLDS).tolist()):
+                rows = np.flatnonzero(ids % FOLDS == f)
+                x[rows] = features(batch.column("text").take(pa.array(rows)), own[f])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     got = map_arrow(rows, featured, "doc_id long, label int, x array<double>").collect()
     got.sort(key=lambda r: r.doc_id)
@@ -237,12 +312,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 class _Scorer:
-    """Scores texts; a worker's lexicon remembers words from batch to batch."""
+    """Scores texts; a worker makes its lexicon once."""
 
     def __init__(self, shared):
         self.shared, self.learned = shared, None
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         self.learned = self.learned or Lexicon(self.shared.value.entries)
-        x = np.array([features(t or "", self.learned) for t in texts.to_pylist()]).reshape(len(texts), WIDTH)
+        x = features(texts, self.learned)
         return pa.array(self.shared.value.score(x) if len(x) else [], pa.float64())

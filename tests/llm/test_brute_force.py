@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -297,7 +298,7 @@ def test_toxic_scores_row_by_row(spark):
     model = toxicity.fit(docs, labels, sample=150)
     learned = toxicity.Lexicon(model.entries)
     for r in toxicity.score(docs, model).collect():
-        x = np.array([toxicity.features(r.text, learned)])
+        x = toxicity.features(pa.array([r.text]), learned)
         margin = model.trees.start
         for feature, split, leaf in zip(model.trees.feature, model.trees.split, model.trees.leaf, strict=True):
             node = 0
@@ -307,3 +308,52 @@ def test_toxic_scores_row_by_row(spark):
             margin += leaf[node - len(feature)]
         plain = 1 / (1 + math.exp(-margin))
         assert r.score == pytest.approx(0.98 * float(np.interp(margin, model.at, model.probability)) + 0.02 * plain)
+
+
+def plain_features(text, entries):
+    """Toxicity features of one text, word by word."""
+    data = (text or "").encode()
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    found = list(re.finditer(rb"[a-z\x80-\xff]+", lower))
+    words = [m[0] for m in found]
+
+    def weight(word):
+        shown = word.decode("latin-1")
+        return max([entries.get("=" + shown, 0.0)] + [entries.get(shown[:n], 0.0) for n in toxicity.STEMS if len(shown) >= n])
+
+    insults, second = ({w.encode() for w in x} for x in (toxicity.INSULTS, toxicity.SECOND_PERSON))
+    hits = [i for i, w in enumerate(words) if weight(w) > 0]
+    near = sum(any(x in second for x in words[max(0, i - 4) : i + 5]) for i in hits)
+    distinct = {words[i] for i in hits}
+    chains, i = [], 0
+    while i < len(found):
+        j = i
+        while j + 1 < len(found) and re.fullmatch(rb"[0-9!$*+\-.@]+", data[found[j].end() : found[j + 1].start()]):
+            j += 1
+        if j > i:
+            chains.append(lower[found[i].start() : found[j].end()])
+        i = j + 1
+    read = [c.translate(bytes.maketrans(b"013457@$!+", b"oieastasit"), b"*.-") for c in chains]
+    disguised = sum(re.fullmatch(rb"[a-z\x80-\xff]+", r) is not None and (weight(r) > 0 or r in insults) for r in read)
+    n, w, many, total = max(1, len(data)), max(1, len(words)), len(hits), sum(weight(words[i]) for i in hits)
+    insult, upper = sum(x in insults for x in words), sum(65 <= b <= 90 for b in data)
+    letters = upper + sum(97 <= b <= 122 for b in data)
+    triple = sum(data[i] == data[i - 1] == data[i - 2] and data[i] > 64 for i in range(2, len(data)))
+    return [
+        insult / w, math.log1p(insult), many / w, math.log1p(many), len(distinct), math.log1p(len(distinct)) / math.log1p(many) if many else 0,
+        total / w, math.log1p(total), max((weight(words[i]) for i in hits), default=0), sum(sorted((weight(d) for d in distinct), reverse=True)[:3]),
+        sum(x in second for x in words) / w, near / w, near / max(1, many), upper / max(1, letters), data.count(b"!") / n, data.count(b"?") / n,
+        sum(data.count(c.encode()) for c in "#$%&*@") / n, triple / n, len(chains) / w, disguised, math.log1p(len(words)),
+    ]
+
+
+def test_toxicity_features_word_by_word():
+    rng = random.Random(9)
+    entries = {"=grumble": 2.5, "gru": 1.25, "knorz": 3.0, "=tú": 0.5, "übel": 2.0}
+    entries = {k.encode().decode("latin-1"): v for k, v in entries.items()}
+    parts = ["you", "You", "IDIOT", "id1ot", "i.d.i.o.t", "st*pid", "grumble", "grumbler", "gr", "knorzig", "kn0rz", "tú", "übel", "ÜBEL", "well-known", "a", "!!!", "??", "#$%", "aaaa", "x1", "1x", "\n", "so", "名前", "e.g.", "end.Start!", "your", "moron"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", None, "aa", "aaa", "a" * 9, "b" * 9, "idiot"]
+    got = toxicity.features(pa.array(texts), toxicity.Lexicon(entries))
+    for t, row in zip(texts, got, strict=True):
+        assert row.tolist() == pytest.approx(plain_features(t, entries)), t
+    assert toxicity.features(pa.array([], pa.string()), toxicity.Lexicon({})).shape == (0, toxicity.WIDTH)
