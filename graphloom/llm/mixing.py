@@ -10,35 +10,52 @@ from graphloom.llm.common import cut
 #: Pieces of a rank for each unit of its logarithm. With a probability of its own, a document's logarithm of the rank has a
 #: logistic distribution, whose density is at most 1/4, so a piece holds at most a thousandth of a source's drawn documents.
 STEPS = 256
+#: Sources of a part of their order, about.
+PART_ROWS = 1_000_000
 #: Hexadecimal digits of the random number of a document.
 DIGITS = 13
 
 
+def running_sums(rows: DataFrame, order: list[Column], of: dict[str, Column]) -> DataFrame:
+    """The rows with sums of what stands before each in an order without ties; checkpointed.
+
+    Rows are dealt by ranges of the order, so that a task sorts about PART_ROWS of them; only the ranges' totals, a row
+    each, are summed by a single task.
+    """
+    parts = rows.count() // PART_ROWS + 1
+    placed = cut(rows.repartitionByRange(parts, *order).withColumn("@part", F.spark_partition_id()))
+    totals = placed.groupBy("@part").agg(*[F.sum(v).alias(k) for k, v in of.items()])
+    earlier = Window.orderBy("@part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("@part").alias("@of"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"@{k}") for k in of])
+    own = Window.partitionBy("@part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({k: F.coalesce(F.sum(v).over(own), F.lit(0)) for k, v in of.items()}).join(F.broadcast(totals), F.col("@part") == F.col("@of"))
+    return cut(out.withColumns({k: F.col(k) + F.col(f"`@{k}`") for k in of}).drop("@part", "@of", *[f"@{k}" for k in of]))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
     """(source, source_size, target) from (source, size).
 
     Sources by code point, null last, take the weights in turn. Targets share ``share`` of all sizes by weight, but
     stop at ``most`` times the source's size; what is over is shared again among the rest, until none is above: the
-    sources are capped in the order of most * size / weight, as far as the level of the rest exceeds it. The table has a
-    row of some 100 bytes for each source, which one task sorts (and spills): ten million sources are 1 GB.
+    sources are capped in the order of most * size / weight, as far as the level of the rest exceeds it.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    sources = sources.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long"))
     up, down = share
-    by_cap = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everything = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    sources = sources.withColumn("capped", F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most)
-    sources = sources.withColumn("left_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    sources = sources.withColumn("all", F.sum("source_size").over(everything))
-    over = F.col("w") * (up * F.col("all") - down * F.col("capped")) >= most * F.col("source_size") * down * F.col("left_w")
-    sources = sources.withColumn("over", over)
+    by_name = F.col("source").asc_nulls_last()
+    sources = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    sources = running_sums(cut(sources), [by_name], {"place": F.lit(1).cast("long")})
+    sources = sources.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
+    total, all_weights = sources.agg(F.sum("source_size"), F.sum("w")).first()
+    ratio = F.col("source_size") / F.col("w")
+    sources = running_sums(sources, [ratio.asc(), by_name], {"before": F.col("source_size"), "before_w": F.col("w")})
+    sources = sources.withColumns({"capped": F.col("before") * most, "left_w": F.lit(all_weights or 0) - F.col("before_w")})
+    sources = sources.withColumn("over", F.col("w") * (up * F.lit(total or 0) - down * F.col("capped")) >= most * F.col("source_size") * down * F.col("left_w"))
     # the first source that isn't over its cap sets the level of all after it
-    first = F.min(F.when(~F.col("over"), F.struct(F.col("source_size") / F.col("w"), F.struct(F.col("source").isNull(), "source"), "capped", "left_w"))).over(everything)
-    sources = sources.withColumn("level", first)
-    open_target = (F.col("w") * (up * F.col("all") - down * F.col("level.capped"))).cast("double") / (down * F.col("level.left_w")).cast("double")
-    target = F.when(F.col("over") | F.col("level").isNull(), (most * F.col("source_size")).cast("double")).otherwise(open_target)
-    return sources.select("source", "source_size", target.alias("target"))
+    level = sources.where("not over").agg(F.min(F.struct(ratio.alias("r"), F.col("source").isNull().alias("n"), "source", "capped", "left_w"))).first()[0]
+    capped = (most * F.col("source_size")).cast("double")
+    if level is None:
+        return sources.select("source", "source_size", capped.alias("target"))
+    shared = (F.col("w") * (up * total - down * level["capped"])).cast("double") / F.lit(down * level["left_w"]).cast("double")
+    return sources.select("source", "source_size", F.when(F.col("over"), capped).otherwise(shared).alias("target"))
 
 
 def random_number(docs: DataFrame, seed: str) -> Column:

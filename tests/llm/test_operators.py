@@ -324,6 +324,25 @@ def test_mix(spark, docs, none):
     assert mixing.mixed_rows(none, size).collect() == []
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Sources that many tasks order, against water-filling one by one."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 7)
+    rng = random.Random(2)
+    sizes = {f"s{i:03d}": rng.randint(0, 500) for i in range(99)} | {None: 40}
+    got = {r.source: r for r in mixing.source_targets(spark.createDataFrame([(s, n) for s, n in sizes.items()] * 2, "source string, size long"), (5, 2, 1), (3, 2), 2).collect()}
+    weight, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}, set()
+    while True:
+        left = 1.5 * sum(2 * n for n in sizes.values()) - sum(4 * sizes[s] for s in full)
+        level = left / sum(weight[s] for s in sizes if s not in full)
+        more = {s for s in sizes if s not in full and level * weight[s] > 4 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    assert len(got) == 100 and 10 < len(full) < 90
+    for s, n in sizes.items():
+        assert got[s].source_size == 2 * n and got[s].target == pytest.approx(4 * n if s in full else level * weight[s])
+
+
 def test_inclusion_and_rank_against_plain_python(docs):
     got = mixing.pareto_mix(docs, queries.words_of("text")).collect()
     for source in {r.source for r in got}:
