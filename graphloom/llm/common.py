@@ -131,4 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, seed: str) ->
     one = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = cut(one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    if texts.select("doc_id").count() > chosen.count():  # only ids are read for this
+        texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return cut(texts)

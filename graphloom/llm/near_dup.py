@@ -104,6 +104,11 @@ def _of_classes(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, to be broadcast if a count shows that it is small; so sets need no shuffle to meet it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _linked(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes, those whose full shingle sets are alike enough; pairs must be checkpointed.
 
@@ -113,11 +118,11 @@ def _linked(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     sets = map_arrow(_of_classes(texts, ids), _full_sets(k), "doc_id long, shingles array<long>")
     tiles = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles")))
-    hubs = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).join(tiles, "a")
+    hubs = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).join(_small(tiles), "a")
     hubs = hubs.select("a", "of_a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    members = pairs.join(tiles.withColumnRenamed("a", "hub"), F.col("a") == F.col("hub"))
-    members = members.select("a", "b", F.pmod(F.xxhash64("b", F.lit("tile")), F.col("tiles")).cast("int").alias("tile"))
-    members = members.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    members = pairs.join(_small(tiles).withColumnRenamed("a", "hub"), F.col("a") == F.col("hub"))
+    members = cut(members.select("a", "b", F.pmod(F.xxhash64("b", F.lit("tile")), F.col("tiles")).cast("int").alias("tile")))
+    members = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).join(_small(members), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = 100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
     return members.join(hubs, ["a", "tile"]).where(alike).select("a", "b").distinct()
@@ -204,7 +209,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # checkpointed, so that the joins read it by an exchange of their own and a hot key's rows can be split
     classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("cls")))
-    heads = full.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
+    heads = full.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"])
+    if not full.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat enter their buckets once
+        heads = heads.dropDuplicates(["set_key", "doc_id"])
     banded = heads.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = cut(stars)
