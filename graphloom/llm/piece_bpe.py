@@ -22,7 +22,7 @@ _NO_RANK = np.iinfo(np.int32).max
 #: as long as the word; the heap takes a time of n * log(n). Both give the same ids.
 LONG_WORD = 256
 #: Words and ids that a worker remembers between batches before it starts anew.
-KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
+KEPT_WORDS, KEPT_IDS = 60_000, 600_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
