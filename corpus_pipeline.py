@@ -10,6 +10,18 @@ from graphloom.llm.common import BROADCAST_IDS, cut, fold, fresh_folder, matchin
 from graphloom.llm.queries import tokenizer_model, words_of
 
 
+#: Rows of the Arrow batches that the stages ask of Spark. They run one after another in the same executors, whose JVM keeps
+#: the buffers of the largest batch; Spark's own bound, 10,000 rows, took some 200 MB of an executor more.
+BATCH_ROWS = 1024
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS; ``run`` sets back what was there before."""
+    if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Bradley-Terry ranker accepts; it learns from the labels outside the held-out fold.
 
@@ -17,6 +29,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     itself, so repeated rows stay or go together, and rows with a null id are judged too. Very long texts are read whole,
     an empty table stays empty, and extra columns stay whatever their names.
     """
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold("doc_id", 4) != 2)
     rows = docs.select("text", F.struct("*").alias("row"))
     return quality.score(rows, quality.fit(docs, labels)).where("accepted").select("row.*")
@@ -28,6 +41,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts that are null, empty or without letters are rejected. Repeated rows stay or go together, null ids are ids like
     others, very long texts are read whole, an empty table stays empty, and extra columns stay whatever their names.
     """
+    bounded_batches(spark)
     rows = docs.select("text", F.struct("*").alias("row"))
     found = language.identify(rows, language.fit(docs.where(fold("doc_id", 5) != 0))).where(~F.col("rejected"))
     return found.select("row.*", F.col("lang_pred").alias("@lang")).withColumn("lang", F.coalesce("lang", "@lang")).select(*docs.columns)
@@ -41,6 +55,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows that repeat id and text one stays. Empty and null texts are in no group. An empty table stays empty; extra
     columns stay whatever their names (of rows that repeat id and text, those of one of them).
     """
+    bounded_batches(spark)
     own, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     shared = cut(docs.where("doc_id is not null").groupBy(own.alias("@shared")).count().where("count > 1").select("@shared"))
     few = shared.count()
@@ -73,6 +88,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row gives a row, repeated ones and such with a null id too; null and empty texts give the begin and end ids.
     Whole texts are encoded, a word of any length in a time of n * log(n). Extra columns are not read.
     """
+    bounded_batches(spark)
     out = piece_bpe.encode_decode(docs, tokenizer_model())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -94,11 +110,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's rows are removed when the next stage has written its own, the last ones when the session's JVM ends.
     """
-    docs, folder, before = table(spark, sf_dir, "documents"), fresh_folder(spark, "pipeline"), None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{folder}/{name}"
+    docs, folder, before, rows = table(spark, sf_dir, "documents"), fresh_folder(spark, "pipeline"), None, spark.conf.get(_ARROW_ROWS)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
+    finally:
+        spark.conf.set(_ARROW_ROWS, rows)
     return docs
