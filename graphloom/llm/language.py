@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -21,8 +20,8 @@ SAMPLE, CENTROIDS, BITS, STEEP = 500, 3, 13, 25.0
 HELD = 0.05
 #: Steps of likeness in which it is counted, quantile of own and of foreign likeness that bounds a language.
 STEPS, EDGE = 200, 0.01
-#: Pieces of 1, 2, 4 ... words that training texts also give, and such pieces in all, about; every text gives one at least.
-PIECES, ALL_PIECES = 9, 20_000
+#: Pieces of 1, 2, 4 ... words that every training text also gives.
+PIECES = 9
 #: Documents of a language that are ranked for its sample, as a multiple of the sample, and the most languages: a centroid has 32 KB.
 SPARE, LANGUAGES = 2, 2000
 UNKNOWN = "und"
@@ -44,11 +43,10 @@ def gram_counts(text: str) -> np.ndarray:
     return np.bincount(keep * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS), minlength=1 << BITS)
 
 
-def pieces(text: str, each: int) -> list[str]:
-    """Beginnings of 1, 2, 4 ... words of a text, ``each`` of the PIECES lengths, chosen by its hash; shorter texts give fewer."""
-    first, words = zlib.crc32(text.encode("utf-8", "replace")), text[:4000].split()
-    lengths = [1 << (first + j) % PIECES for j in range(each)]
-    return [" ".join(words[:n]) for n in lengths if n < len(words)]
+def pieces(text: str) -> list[str]:
+    """Beginnings of 1, 2, 4 ... words of a text, of all PIECES lengths that are shorter than it."""
+    words = text.split(None, 1 << PIECES - 1)
+    return [" ".join(words[:n]) for n in (1 << j for j in range(PIECES)) if n < len(words)]
 
 
 @dataclass
@@ -131,7 +129,7 @@ def fit_centroids(counts: np.ndarray, langs: list[str], centroids: int = CENTROI
     return model_of(idf, [(name, v) for name in sorted(set(langs)) for v in centres_of(counts[[i for i, x in enumerate(langs) if x == name]], idf, centroids)])
 
 
-def tally(model: Centroids, texts: list[str], langs: list[str], each: int) -> np.ndarray:
+def tally(model: Centroids, texts: list[str], langs: list[str]) -> np.ndarray:
     """Numbers of texts and pieces by language, whether it is their own, length, and step of their likeness to the language.
 
     A text that lies nearest to another language than its own may be named wrongly, so it counts nowhere.
@@ -140,7 +138,7 @@ def tally(model: Centroids, texts: list[str], langs: list[str], each: int) -> np
     for text, lang in zip(texts, langs, strict=True):
         if lang not in model.names or not has_letter(text):
             continue
-        by_name, length = model.likeness([text, *filter(has_letter, pieces(text, each))])
+        by_name, length = model.likeness([text, *filter(has_letter, pieces(text))])
         own = model.names.index(lang)
         if by_name[0].argmax() == own:
             step = np.clip((by_name * STEPS).astype(int), 0, STEPS - 1)
@@ -167,11 +165,11 @@ def bounds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tallied(model, each: int):
+def _tallied(model):
     """Of (lang, text): the cells of ``tally`` that are not 0, once a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sum((tally(model.value, b.column("text").to_pylist(), b.column("lang").to_pylist(), each) for b in batches), np.zeros((len(model.value.names), 2, BITS + 1, STEPS), np.int64)).ravel()
+        found = sum((tally(model.value, b.column("text").to_pylist(), b.column("lang").to_pylist()) for b in batches), np.zeros((len(model.value.names), 2, BITS + 1, STEPS), np.int64)).ravel()
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["at", "n"])
 
@@ -221,7 +219,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids:
     text is ``und``. Null ids are ids like others; extra columns are not read.
     """
     named = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text", F.lit("language")).alias("h"))
-    sizes = cut(named.groupBy("lang").agg(F.approx_count_distinct("h").alias("d"), F.count(F.lit(1)).alias("c")))
+    sizes = cut(named.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")))
     if sizes.count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     held = {r["at"]: r["n"] for r in map_arrow(named.select("text"), _having, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
@@ -238,9 +236,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids:
     found = map_arrow(rows, _sparse, "lang string, h long, at array<int>, n array<int>").groupBy("lang").applyInArrow(_clustered(idf), "lang string, vector array<float>").collect()
     model = model_of(idf, sorted(((r["lang"], np.array(r["vector"], np.float32)) for r in found), key=lambda x: (x[0], x[1].tobytes())))
     if model.names:
-        each = max(1, min(PIECES, ALL_PIECES // max(1, sizes.agg(F.sum("c")).first()[0] or 0)))
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        cells = map_arrow(named.select("lang", "text"), _tallied(shared, each), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        cells = map_arrow(named.select("lang", "text"), _tallied(shared), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
         tallied = np.zeros((len(model.names), 2, BITS + 1, STEPS), np.int64)
         tallied.ravel()[[r["at"] for r in cells]] = [r["n"] for r in cells]
         model.least = bounds(tallied)
