@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import column_of, labelled_sample, map_arrow
 
-#: Labelled documents that a fit uses at most, pairs for each rejected document, pairs at most, ridge penalty, score at the threshold.
-SAMPLE, PAIRS_EACH, PAIRS, RIDGE, CUT = 8000, 20, 100_000, 1e-3, 0.7
+#: Labelled documents that a fit uses at most, pairs for each rejected document, ridge penalty, score at the threshold.
+SAMPLE, PAIRS_EACH, RIDGE, CUT = 8000, 20, 1e-3, 0.7
 #: Bins of equal width in which the utilities of all documents are counted, and the utility beyond which all fall in the last one.
 BINS, WIDEST = 1 << 16, 64.0
 _SENTENCE, _MARKS, _BRACKETS = b".,;:'\"-", b"!?", b"()[]{}<>"
@@ -78,11 +78,11 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, steps: int) -> np.n
 
 
 def pairs_of(label: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the better and of the worse document of each preference pair: every rejected one loses to accepted ones drawn at random."""
+    """Places of the better and of the worse document of each preference pair: every rejected one loses to PAIRS_EACH accepted ones drawn at random."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return good[:0], bad[:0]
-    losers = np.repeat(bad, max(1, min(PAIRS_EACH, PAIRS // len(bad))))
+    losers = np.repeat(bad, PAIRS_EACH)
     return np.random.default_rng(seed).choice(good, len(losers)), losers
 
 
@@ -97,7 +97,9 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, seed: int = 7) -> Ranker:
     if not len(won):
         return Ranker(mean, scale, np.zeros(x.shape[1]), 0.0, -30.0 if (label == 0).any() else 30.0)
     z = np.clip((x - mean) / scale, -10, 10)
-    weights = _newton(z[won] - z[lost], np.ones(len(won)), np.full(x.shape[1], RIDGE), 25)
+    ahead = z[won]
+    ahead -= z[lost]
+    weights = _newton(ahead, np.ones(len(won)), np.full(x.shape[1], RIDGE), 25)
     slope, base = _newton(np.stack([z @ weights, np.ones(len(z))], axis=1), label.astype(float), np.array([1e-4, 0.0]), 60)
     return Ranker(mean, scale, weights, float(slope), float(base))
 
