@@ -137,8 +137,9 @@ class GraphEngine:
 
     def _single(self, ctx: Context, part: A.Single, by_label: dict[str, tuple[str, ...]]) -> tuple[DataFrame, dict[str, str]]:
         scope, needs = None, needs_after(part)
-        for clause, ctx.needs in zip(part.clauses, needs, strict=False):
-            scope = match(ctx, scope, clause) if isinstance(clause, A.Match) else project(ctx, scope, clause)[0]
+        following = [*part.clauses[1:], part.returns]
+        for clause, then, ctx.needs in zip(part.clauses, following, needs, strict=False):
+            scope = match(ctx, scope, clause, then) if isinstance(clause, A.Match) else project(ctx, scope, clause)[0]
         if part.returns is None:
             return shown(scope, list(scope.vars), by_label)
         ctx.needs = needs[-1]

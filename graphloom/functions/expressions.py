@@ -105,6 +105,7 @@ class Scope:
     frame: DataFrame
     vars: dict[str, Entity | Scalar | PathOf] = field(default_factory=dict)
     known: dict[A.Expr, str] = field(default_factory=dict)  # expressions that are columns already
+    times: str | None = None  # the column that says for how many binding rows a row stands; None: for one
 
     def types(self) -> dict[str, T.DataType]:
         return types_of(self.frame)

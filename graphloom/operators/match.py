@@ -291,10 +291,78 @@ def _may_meet(rels: list[A.Rel]) -> bool:
     return any(not a or not b or a & b for a, b in combinations(types, 2))
 
 
-def match(ctx: Context, scope: Scope | None, clause: A.Match) -> Scope:
-    """Binding rows of a MATCH: its paths joined on shared variables, no edge used twice, then its WHERE."""
+def _only_counted(ctx: Context, clause: A.Match, then: A.Match | A.Projection | None) -> bool:
+    """Whether a MATCH is one path of two physical relationships of whose middle node alone something is read, and what follows counts its rows."""
+    if not isinstance(then, A.Projection) or then.star or ctx.needs is None or len(clause.paths) != 1:
+        return False
+    path = clause.paths[0]
+    if path.var or len(path.rels) != 2 or not path.nodes[1].labels or not _may_meet(list(path.rels)):
+        return False
+    middle = path.nodes[1].var
+    named = [x.var for x in (*path.nodes, *path.rels) if x.var]
+    exprs = [*(i.expr for i in then.items), *(s.expr for s in then.order)]
+    inner = [*exprs, *([clause.where] if clause.where is not None else [])]
+    aggs = [x for e in exprs for x in A.walk(e) if isinstance(x, A.Agg)]
+    if len(set(named)) < len(named) or any(v in named and v != middle for e in inner for v in A.variables(e)):
+        return False
+    # the other aggregates must not depend on how often a row stands
+    if not any(A.has_aggregate(i.expr) for i in then.items) or any(a != A.Agg("count", None) and a.name not in ("min", "max") and not a.distinct for a in aggs):
+        return False
+    types = [t for r in path.rels for t in (r.types or ctx.catalog.edges)]
+    labels = [x for n in path.nodes for x in (n.labels or ctx.catalog.labels)]
+    return all(t in ctx.catalog.edges and t not in ctx.catalog.virtual_edges for t in types) and not any(x not in ctx.catalog.labels or ctx.catalog.labels[x].virtual or _lookup(ctx, x) for x in labels)
+
+
+def _counted(ctx: Context, clause: A.Match) -> Scope | None:
+    """The middle nodes of a path (a)-[x]-(n)-[y]-(b), each row with the number of binding rows that it stands for; None if its columns do not allow it.
+
+    No pair of x and y becomes a row. A middle node with X and Y edges on its sides has X * Y pairs; of those with one type
+    the ones that are not two different edges, or of which an edge has no id, are taken off.
+    """
+    path = clause.paths[0]
+    first, middle, last = path.nodes
+    name = middle.var or "@middle"
+    one, ((_, x),) = _with_path(ctx, None, A.Path(None, (first, A.Node(name, middle.labels, middle.props)), path.rels[:1]), True)
+    own, types = one.vars[name], one.types()
+    group = [k for k in own.columns if k in types]
+    nodes = typed(one.frame.select(*[c(k) for k in group]).distinct(), {k: types[k] for k in group})
+    two, ((_, y),) = _with_path(ctx, Scope(nodes, {name: own}), A.Path(None, (A.Node(name), last), path.rels[1:]), True)
+    kind = types[f"{x.prefix}@id"]
+    if kind != two.types()[f"{y.prefix}@id"] or not all(isinstance(t, (T.IntegralType, T.StringType)) for t in (kind, *(types[k] for k in group))):
+        return None
+    key, zero = [c(k) for k in group], F.lit(0).cast("long")
+
+    def edges(frame: DataFrame, e: Entity, is_x: bool) -> DataFrame:
+        n = F.count(F.lit(1))
+        return frame.groupBy(*key, e.meta("label").alias("@type"), e.meta("id").alias("@edge")).agg((n if is_x else zero).alias("@x"), (zero if is_x else n).alias("@y"))
+
+    each = edges(one.frame, x, True).union(edges(two.frame, y, False)).groupBy(*key, "`@type`", "`@edge`").agg(F.sum("`@x`").alias("@x"), F.sum("`@y`").alias("@y"))
+    known = c("@edge").isNotNull()
+
+    def total(value, where=None):
+        return F.sum(value if where is None else F.when(where, value).otherwise(zero))
+
+    different = total(c("@x"), known) * total(c("@y"), known) - total(c("@x") * c("@y"), known)
+    kinds = each.groupBy(*key, "`@type`").agg(total(c("@x")).alias("@x"), total(c("@y")).alias("@y"), different.alias("@different"))
+    times = f"{ctx.prefix()}@times"
+    pairs = total(c("@x")) * total(c("@y")) - total(c("@x") * c("@y")) + total(c("@different"))
+    frame = typed(kinds.groupBy(*key).agg(pairs.alias(times)).where(c(times) > 0), {k: types[k] for k in group} | {times: T.LongType()})
+    return Scope(frame, {name: own}, times=times)
+
+
+def match(ctx: Context, scope: Scope | None, clause: A.Match, then: A.Match | A.Projection | None = None) -> Scope:
+    """Binding rows of a MATCH: its paths joined on shared variables, no edge used twice, then its WHERE.
+
+    ``then`` is the clause after it: where that only counts the rows, they may be given as numbers (``Scope.times``).
+    """
     used: list[tuple[A.Rel, Entity]] = []
     ctx.where = clause.where
+    if scope is None and _only_counted(ctx, clause, then):
+        counted = _counted(ctx, clause)
+        if counted:
+            if clause.where is not None:
+                counted.where(Compiler(counted, ctx.params).truth(clause.where))
+            return counted
     shared = _may_meet([r for path in clause.paths for r in path.rels])
     for path in clause.paths:
         scope, rels = _with_path(ctx, scope, path, shared)

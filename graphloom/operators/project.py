@@ -87,7 +87,10 @@ def _aggregate(ctx: Context, scope: Scope, items: list[A.Item], order: list[A.Ex
                 raise GraphQueryError(f"{agg.name} needs numbers", errors.EXECUTION)
             columns[arg] = col
             whole = isinstance(kind, T.IntegralType)
-        results.append(_function(agg, arg, agg.arg is not None and whole).alias(name))
+        if agg == A.Agg("count", None) and scope.times:
+            results.append(F.coalesce(F.sum(c(scope.times)), F.lit(0).cast("long")).alias(name))
+        else:
+            results.append(_function(agg, arg, agg.arg is not None and whole).alias(name))
         known[agg] = name
     group = list(dict.fromkeys(group))
     frame = scope.frame.withColumns(columns) if columns else scope.frame
